@@ -1,7 +1,7 @@
 """All queries of the core, by name."""
 
-from lodegraph.plans import dealt
+from lodegraph.plans import dealt, graph_queries
 
-QUERIES = {**dealt.QUERIES}
-ORACLES = {**dealt.ORACLES}
-FLAGSHIP = dealt.p7_keys
+QUERIES = {**dealt.QUERIES, **graph_queries.QUERIES}
+ORACLES = {**dealt.ORACLES, **graph_queries.ORACLES}
+FLAGSHIP = graph_queries.impact_affected
