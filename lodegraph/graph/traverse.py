@@ -149,11 +149,12 @@ def paths(reached: DataFrame, scratch: Scratch, columns: list[str]) -> DataFrame
         far = state.select("q", F.col("nid").alias("up"), F.col("up").alias("up2"), F.col("path").alias("rest"))
         state = state.join(far, ["q", "up"], "left").select("q", "nid", F.col("up2").alias("up"), F.when(F.col("rest").isNull(), F.col("path")).otherwise(F.concat("path", "rest")).alias("path"))
         done *= 2
-    return state.select("q", "nid", "path")
+    return scratch.keep(state.select("q", "nid", "path"))
 
 
 def shortest_paths(links: DataFrame, pairs: DataFrame, scratch: Scratch, max_depth: int, limit: int = KERNEL_EDGES) -> DataFrame:
     """links: g, src, dst. (q, pos, nid) of the path with fewest steps from ``a`` to ``b`` of each pair (g, q, a, b); ties by the smallest node. A pair without a path has no rows; a node's path to itself is the node."""
+    pairs = scratch.keep(pairs.select("g", "q", "a", "b"))
     steps = links.select("g", "src", "dst", F.lpad(F.hex("dst"), 16, "0").alias("key")).distinct()
     found = bfs(steps, pairs.select("g", "q", F.col("a").alias("nid")), scratch, max_depth, limit=limit)
     goal = found.visited.join(pairs.select("q", F.col("b").alias("nid")), ["q", "nid"], "left_semi")

@@ -15,11 +15,12 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.session import coalesce_text
+from lodegraph.session import buckets_for, coalesce_text
 
 BINS_PER_TASK, SHARDS_PER_TASK = 8, 4
 
@@ -65,7 +66,7 @@ def make_plan(loads: DataFrame, tasks: int) -> Plan:
 
 def task_of(plan: Plan, h: Column, member: Column) -> Column:
     """The task of a row: its bin's, or that of its shard by the hash of ``member``."""
-    tasks = F.array(*[F.lit(t) for t in plan.bin_task])
+    tasks = F.lit(np.asarray(plan.bin_task, np.int32))
     light = F.element_at(tasks, (F.pmod(h, F.lit(plan.bins)) + 1).cast("int"))
     if not plan.shards:
         return light
@@ -76,7 +77,7 @@ def task_of(plan: Plan, h: Column, member: Column) -> Column:
 
 def tasks_of_match(plan: Plan, h: Column) -> Column:
     """The tasks that a row of the matching side is replicated to."""
-    tasks = F.array(*[F.lit(t) for t in plan.bin_task])
+    tasks = F.lit(np.asarray(plan.bin_task, np.int32))
     light = F.array(F.element_at(tasks, (F.pmod(h, F.lit(plan.bins)) + 1).cast("int")))
     if not plan.shards:
         return light
@@ -132,10 +133,8 @@ def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from t.select(["key", "n_sum", "member_count", "weight_sum"]).rename_columns(["key", "n_rows", "n_members", "weight"]).to_batches()
 
 
-def tasks_for(rows: DataFrame, bytes_each: int = 32 << 20, least: int = 12) -> int:
-    from lodegraph.session import planned_bytes
-
-    return max(least, planned_bytes(rows) // bytes_each + 1)
+def tasks_for(rows: DataFrame, bytes_each: int = 32 << 20, least: int = 12, most: int = 1 << 16) -> int:
+    return buckets_for(rows, bytes_each, least, most)
 
 
 def per_key(rows: DataFrame, key: str, member: str, weight: str | None = None, tasks: int | None = None) -> DataFrame:

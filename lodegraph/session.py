@@ -65,13 +65,16 @@ class Scratch:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's size; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of a plan's size, 0 where it knows none; no job runs."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 8, most: int = 1_000_000) -> int:
-    """How many hash buckets keep each one near ``bytes_each``."""
-    return max(least, min(most, planned_bytes(df) // bytes_each + 1))
+    """How many hash buckets keep each one near ``bytes_each``; as many as shuffle partitions where the size is unknown."""
+    known = planned_bytes(df)
+    wanted = known // bytes_each + 1 if known else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, wanted))
 
 
 def coalesce_text(c: Column) -> Column:
