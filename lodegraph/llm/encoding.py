@@ -54,8 +54,12 @@ def _pattern():
 
 
 def boundaries(chunk: str, start: int, lo: int, hi: int) -> list[int]:
-    """Starts of pre-tokens of a chunk that begins at ``start``, within [lo, hi), counted in the whole text."""
-    return [p for m in _pattern().finditer(chunk) if lo <= (p := m.start() + start) < hi]
+    """Starts of pre-tokens of a chunk that begins at ``start``, within [lo, hi), counted in the whole text.
+
+    A start after white space is left out: where white space ends a pre-token,
+    its end depends on what follows, so the text cannot be parted there.
+    """
+    return [p for m in _pattern().finditer(chunk) if lo <= (p := m.start() + start) < hi and not (m.start() and chunk[m.start() - 1].isspace())]
 
 
 def meet(ahead: list[int], behind: list[int]) -> int | None:

@@ -32,7 +32,7 @@ _VOWELS = re.compile(r"[aeiouyàâäéèêëîïôöûüœæ]+")
 #: hyphenation-style rules: endings that add no syllable, and vowel pairs that are two
 _SILENT = re.compile(r"(?:[^laeiouy]|[aeiouy]l)es?$|[^dt]ed$|[^aeiouy]ely$")
 _LE = re.compile(r"[^aeiouy]les?$")
-_SPLIT = re.compile(r"i[ao](?!u)|[^cstg]ious|eo|ua(?!r)|uou|[aeiouym]bl$|ying|[^q]ue[lnst]|ism$|[aiu]ing")
+_SPLIT = re.compile(r"crea(?![ms])|i[ao](?!u)|[^cstg]ious|eo|ua(?!r)|uou|[aeiouym]bl$|ying|[^q]ue[lnst]|ism$|[aiu]ing")
 _JOIN = re.compile(r"[ct]i(?:a|o|e)|s[is]ion|gi(?:o|a)n?|ieu")
 
 
@@ -83,7 +83,7 @@ def counts(text: str) -> tuple[int, ...]:
 
 def grade_columns() -> dict[str, Column]:
     """The formulas over the columns COUNTS; null where a text has no words."""
-    s, w, letters, syl, poly, mono, long_words = (F.nullif(F.col(c), F.lit(0)) if c == "n_words" else F.col(c) for c in COUNTS)
+    s, w, letters, syl, poly, mono, long_words = (F.nullif(F.col(c), F.lit(0)) if c in ("n_words", "n_sentences") else F.col(c) for c in COUNTS)
     per = w / s
     return {
         "flesch_kincaid": 0.39 * per + 11.8 * syl / w - 15.59,
