@@ -206,3 +206,23 @@ ORACLES = {
     "last_login": "WITH t AS (SELECT DISTINCT event_type FROM events), a AS (SELECT min(event_type) AS x FROM t), b AS (SELECT min(event_type) AS y FROM t WHERE event_type > (SELECT x FROM a)), l AS (SELECT event_id, user_id, ts FROM events, a WHERE event_type = x), r AS (SELECT user_id, ts, max(event_id) AS seen_event FROM events, b WHERE event_type = y GROUP BY ALL) SELECT l.event_id, r.seen_event FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts",
     "events_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
+
+
+def _source_facts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    from lodegraph.names.analyse import fact_tables
+
+    d = table(spark, folder, "documents").where("source = 'source_file' and path like '%.rs'")
+    return fact_tables(d.groupBy("repo_id", "path").agg(F.max_by("text", F.struct("created_at", "doc_id")).alias("text")))
+
+
+def source_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols read from the Rust texts of each repository."""
+    return _source_facts(spark, folder)["symbols"]
+
+
+def source_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed edges resolved from the Rust texts of each repository."""
+    return _source_facts(spark, folder)["edges"].withColumn("lines", F.concat_ws(",", F.transform("lines", lambda x: x.cast("string"))))
+
+
+QUERIES |= {f.__name__: f for f in (source_symbols, source_calls)}

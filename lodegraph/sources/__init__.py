@@ -1 +1 @@
-
+"""Where repositories come from: folders, git, manifests."""

@@ -1 +1 @@
-
+"""Streams: continuous counts and a continuous index of changes."""

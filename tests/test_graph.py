@@ -122,7 +122,7 @@ def test_traversals_agree(spark, rows):
     starts = spark.createDataFrame([("g0", "a", 1), ("g0", "a", 2), ("g1", "b", 0), ("g1", "c", 7)], "g string, q string, nid bigint")
     for most in (None, 4):
         scratch = Scratch(spark, "t")
-        one, two = (bfs(links, starts, scratch, 4, most, ("key",), limit) for limit in (1000, 0))
+        one, two = (bfs(links.withColumn("label", F.lit(7)), starts, scratch, 4, most, ("label",), limit) for limit in (1000, 0))
         assert rows(one.visited.select("q", "nid", "depth", "parent")) == rows(two.visited.select("q", "nid", "depth", "parent"))
         assert rows(one.truncated) == rows(two.truncated)
 
