@@ -111,8 +111,8 @@ def _loop(steps: DataFrame, starts: DataFrame, scratch: Scratch, max_depth: int,
     cut: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
         visited = _all(levels)
-        ahead = levels[-1].select("q", F.col("nid").alias("src"), F.col("order").alias("o"))
-        near = ahead.join(steps if depth == 1 else steps.where("not seed_only"), "src")
+        ahead = levels[-1].select("g", "q", F.col("nid").alias("src"), F.col("order").alias("o"))
+        near = ahead.join(steps if depth == 1 else steps.where("not seed_only"), ["g", "src"])
         fresh = near.join(visited.select("q", F.col("nid").alias("dst")), ["q", "dst"], "left_anti")
         best = fresh.groupBy("g", "q", "dst").agg(F.min_by(F.struct("o", "key", "src", *carry), F.struct("o", "key", "src")).alias("b"))
         new = scratch.keep(best.select("g", "q", F.col("dst").alias("nid"), F.lit(depth).alias("depth"), F.col("b.src").alias("parent"), F.concat("b.o", "b.key", F.lpad(F.hex("dst"), 16, "0")).alias("order"), *[F.col(f"b.{c}").alias(c) for c in carry]).select(columns))
