@@ -116,12 +116,13 @@ def impact(g: Graph, seeds: DataFrame, max_depth: int = IMPACT_DEPTH, max_nodes:
     return Impact(g, seeds, g.scratch.keep(affected), truncated)
 
 
-def select_tests(g: Graph, seeds: DataFrame, max_depth: int = IMPACT_DEPTH, max_nodes: int = IMPACT_NODES, possible: bool = False) -> dict[str, DataFrame]:
+def select_tests(g: Graph, seeds: DataFrame, max_depth: int = IMPACT_DEPTH, max_nodes: int = IMPACT_NODES, possible: bool = False, per_symbol: bool = True) -> dict[str, DataFrame]:
     """Tests to run for each change: ``selected`` (q, nid, depth, calls, confidence, selection), ``changed_tests`` (q, nid), ``reaches`` (q, seed, nid) and ``untested`` (q, nid).
 
     A test is direct with at most one call in its chain, else transitive; what
     only ambiguous calls reach is possible. One traversal keyed by (q, seed)
-    tells which changed callable each test reaches.
+    tells which changed callable each test reaches; without ``per_symbol`` it is
+    left out, with ``reaches`` and ``untested``.
     """
     report = impact(g, seeds, max_depth, max_nodes, possible)
     tests = g.nodes.where("is_test").select("nid")
@@ -129,10 +130,13 @@ def select_tests(g: Graph, seeds: DataFrame, max_depth: int = IMPACT_DEPTH, max_
     selected = report.affected.join(tests, "nid", "left_semi").join(chains, ["q", "nid"]).select(
         "q", "nid", "depth", "calls", "confidence", F.when(F.col("confidence") == "possible", "possible").when(F.col("calls") <= 1, "direct").otherwise("transitive").alias("selection")
     )
+    out = {"selected": selected, "changed_tests": report.seeds.join(tests, "nid", "left_semi").select("q", "nid"), "truncated": report.truncated}
+    if not per_symbol:
+        return out
     callables = report.seeds.join(g.nodes.where(F.col("kind").isin(*CALLABLE) & ~F.coalesce("is_test", F.lit(False))).select("nid"), "nid", "left_semi")
     keyed = callables.join(g.nodes.select("nid", F.col("repo_id").alias("g")), "nid").select("g", F.struct(F.col("q").cast("string").alias("of"), F.col("nid").alias("seed")).alias("q"), "nid")
     alone = bfs(impact_edges(g).withColumnRenamed("repo_id", "g"), keyed.withColumn("q", F.to_json("q")), g.scratch, max_depth, max_nodes)
     key = F.from_json("q", "of string, seed bigint")
     reaches = alone.visited.where("depth > 0").join(tests, "nid", "left_semi").select(key.alias("k"), "nid").select(F.col("k.of").alias("q"), "k.seed", "nid")
     untested = callables.join(reaches.select("q", F.col("seed").alias("nid")), ["q", "nid"], "left_anti")
-    return {"selected": selected, "changed_tests": report.seeds.join(tests, "nid", "left_semi").select("q", "nid"), "reaches": reaches, "untested": untested.select("q", "nid"), "truncated": report.truncated}
+    return out | {"reaches": reaches, "untested": untested.select("q", "nid")}

@@ -97,14 +97,14 @@ def impact_chain_length(spark: SparkSession, folder: str) -> DataFrame:
 
 def selected_tests(spark: SparkSession, folder: str) -> DataFrame:
     g = load_graph(spark, folder)
-    chosen = select_tests(g, hot_symbols(g), max_nodes=1_000_000, possible=True)["selected"]
+    chosen = select_tests(g, hot_symbols(g), max_nodes=1_000_000, possible=True, per_symbol=False)["selected"]
     return g.named(chosen, nid="id").select(F.col("q").alias("repo_id"), "id", "depth", "confidence")
 
 
 def test_chains(spark: SparkSession, folder: str) -> DataFrame:
     """Direct, transitive and possible tests with the calls in their chains."""
     g = load_graph(spark, folder)
-    chosen = select_tests(g, hot_symbols(g), max_nodes=1_000_000, possible=True)["selected"]
+    chosen = select_tests(g, hot_symbols(g), max_nodes=1_000_000, possible=True, per_symbol=False)["selected"]
     return g.named(chosen, nid="id").select(F.col("q").alias("repo_id"), "id", "depth", "calls", "selection")
 
 
