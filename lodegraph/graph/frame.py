@@ -70,9 +70,30 @@ def build_graph(symbols: DataFrame, edges: DataFrame, shared: DataFrame | None =
     return Graph(scratch, ordered, scratch.keep(linked.select("repo_id", "src", "dst", "relation", "resolution", "lines")))
 
 
+#: Graphs that stay built for further questions; a graph is built again once one of its tables changes.
+KEPT_GRAPHS = 8
+_kept: dict[tuple, Graph] = {}
+
+
+def _state_of(spark: SparkSession, folder: str, names: tuple[str, ...]) -> tuple:
+    """The session and every file of the tables with its size and time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = [spark.sparkContext.applicationId, folder]
+    for name in names:
+        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        seen += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)]
+    return tuple(seen)
+
+
 def load_graph(spark: SparkSession, folder: str) -> Graph:
-    """The graph of the project's tables."""
-    return build_graph(live_symbols(table(spark, folder, "symbols")), merged_edges(table(spark, folder, "edges")), live_symbols(table(spark, folder, "shared_symbols")))
+    """The graph of the project's tables. One build serves all questions of a session for as long as the tables stay as they are."""
+    key = _state_of(spark, folder, ("symbols", "edges", "shared_symbols"))
+    if key not in _kept:
+        while len(_kept) >= KEPT_GRAPHS:
+            del _kept[next(iter(_kept))]
+        _kept[key] = build_graph(live_symbols(table(spark, folder, "symbols")), merged_edges(table(spark, folder, "edges")), live_symbols(table(spark, folder, "shared_symbols")))
+    return _kept[key]
 
 
 def impact_edges(g: Graph, possible: bool = False) -> DataFrame:
