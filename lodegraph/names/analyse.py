@@ -12,22 +12,31 @@ from pyspark.sql import functions as F
 from lodegraph.names.resolve import Repository, Resolution
 from lodegraph.rustlex.items import read_file
 from lodegraph.schemas import CANDIDATES_LISTED
-from lodegraph.sources.layout import dependency_names, modules, targets
+from lodegraph.sources.layout import by_path, dependency_names, modules, targets
 
 FACTS = "repo_id string, tab string, row string"
 
 
-def analyse(files: dict[str, str], repo: str) -> Resolution:
-    """All of one repository: path -> text of its Rust files and Cargo.toml manifests."""
+def analyse(files: dict[str, str], repo: str, unreached: bool = False) -> Resolution:
+    """All of one repository: path -> text of its Rust files and Cargo.toml manifests.
+
+    unreached: files that no target's ``mod`` items reach are read too, with the
+    crate and module that their path tells; else they are left out.
+    """
     manifests = {p: t for p, t in files.items() if p.rpartition("/")[2] == "Cargo.toml"}
     rust = sorted(p for p in files if p.endswith(".rs"))
     found = targets(repo, manifests, rust)
-    declared = {p: read_file(files[p], p, "x").modules for p in rust}
+    usual = by_path(repo, manifests, rust)
+    read = {p: read_file(files[p], p, path) for p, (_, path) in usual.items()}
+    declared = {p: f.modules for p, f in read.items()}
     roots = {t.root for t in found}
     reached = {c for p in rust for inline, name, where in declared[p] if (c := _child(p, p in roots, inline, name, where, set(rust)))}
     at = modules([t for t in found if t.root not in reached or t.kind in ("lib", "bin")], declared, rust)
-    facts = {p: (read_file(files[p], p, path), t.name, t.kind) for p, (t, path) in at.items()}
+    if unreached:
+        at = usual | at
+    facts = {p: (read[p] if path == usual[p][1] else read_file(files[p], p, path), t.name, t.kind) for p, (t, path) in at.items()}
     _make_unique(facts)
+    _drop_unknown_parents(facts)
     return Repository(facts, frozenset(n for t in manifests.values() for n in dependency_names(t))).resolve()
 
 
@@ -60,6 +69,14 @@ def _make_unique(facts: dict) -> None:
         taken |= {s.id for s in f.symbols}
 
 
+def _drop_unknown_parents(facts: dict) -> None:
+    """A file's module has no parent where no file or item gives that module."""
+    known = {s.id for f, _, _ in facts.values() for s in f.symbols}
+    for f, _, _ in facts.values():
+        if f.symbols[0].parent not in known:
+            f.symbols[0].parent = None
+
+
 def _rows(repo: str, r: Resolution) -> Iterator[tuple[str, dict]]:
     for s in r.symbols:
         yield "symbols", {"id": s.id, "kind": s.kind, "name": s.name, "qualified_name": s.qualified_name, "start_line": s.start_line, "end_line": s.end_line, "parent": s.parent, "module": s.module, "is_test": s.is_test, "signature": s.signature, "fingerprint": s.fingerprint}
@@ -73,7 +90,7 @@ def _rows(repo: str, r: Resolution) -> Iterator[tuple[str, dict]]:
 
 def _group(pdf: pd.DataFrame) -> pd.DataFrame:
     repo = pdf["repo_id"].iloc[0]
-    r = analyse({p: t for p, t in zip(pdf["path"], pdf["text"]) if isinstance(t, str) and isinstance(p, str)}, repo)
+    r = analyse({p: t for p, t in zip(pdf["path"], pdf["text"]) if isinstance(t, str) and isinstance(p, str)}, repo, unreached=True)
     return pd.DataFrame([(repo, tab, json.dumps(row)) for tab, row in _rows(repo, r)], columns=["repo_id", "tab", "row"])
 
 
@@ -89,7 +106,7 @@ def fact_tables(files: DataFrame) -> dict[str, DataFrame]:
     """files: repo_id, path, text of Rust files and manifests. The fact tables by name, each with repo_id.
 
     One repository is one group, which name resolution needs; texts without a
-    repository or path are left out.
+    repository or path are left out. Every other Rust text gives at least its module.
     """
     rows = files.select("repo_id", "path", "text").where("repo_id is not null and path is not null and text is not null").groupBy("repo_id").applyInPandas(_group, FACTS)
     return {name: rows.where(F.col("tab") == name).select("repo_id", F.from_json("row", schema).alias("r")).select("repo_id", "r.*") for name, schema in SCHEMAS.items()}

@@ -211,7 +211,7 @@ ORACLES = {
 def _source_facts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     from lodegraph.names.analyse import fact_tables
 
-    d = table(spark, folder, "documents").where("source = 'source_file' and path like '%.rs'")
+    d = table(spark, folder, "documents").where("source = 'source_file' and (path like '%.rs' or path = 'Cargo.toml' or path like '%/Cargo.toml')")
     return fact_tables(d.groupBy("repo_id", "path").agg(F.max_by("text", F.struct("created_at", "doc_id")).alias("text")))
 
 

@@ -111,6 +111,7 @@ class Scope:
 class Reader:
     def __init__(self, text: str, path: str):
         self.t: Tokens = tokens(text)
+        self.texts, self.n = self.t.text, len(self.t)
         self.path = path
         self.facts = Facts(syntax_errors=self.t.errors)
         self.ids: set[str] = set()
@@ -118,10 +119,10 @@ class Reader:
     # -- helpers ---------------------------------------------------------------
 
     def at(self, i: int) -> str:
-        return self.t.text[i] if 0 <= i < len(self.t) else ""
+        return self.texts[i] if 0 <= i < self.n else ""
 
     def close(self, i: int) -> int:
-        return self.t.partner.get(i, len(self.t))
+        return self.t.partner.get(i, self.n)
 
     def line(self, i: int) -> int:
         return self.t.line[min(max(i, 0), len(self.t) - 1)] if len(self.t) else 1
@@ -151,7 +152,9 @@ class Reader:
     def print_of(self, a: int, b: int, skip: list[tuple[int, int]] = ()) -> str:
         h = 0xCBF29CE484222325
         i = a
-        while i < min(b, len(self.t)):
+        if not skip:
+            return f"{fnv1a(b''.join([x.encode() + b'\xff' for x in self.texts[a:b]])):016x}"
+        while i < min(b, self.n):
             hole = next((e for s, e in skip if s == i), None)
             if hole is not None:
                 i = hole
@@ -389,8 +392,10 @@ class Reader:
                 if self.at(i) == "(" and self.at(i - 1) == "pub":
                     i = self.close(i) + 1
             if self.at(i) == "fn":
+                before = len(self.facts.symbols)
                 stop = self.function(i, start, end, scope, public, test, scope.test, owner)
-                methods.append(self.facts.symbols[-1].id if self.facts.symbols[-1].parent == owner[0] else next(s.id for s in reversed(self.facts.symbols) if s.parent == owner[0] and s.name == self.at(i + 1)))
+                # none where the text ends before the method's parameters
+                methods += [s.id for s in self.facts.symbols[before : before + 1]]
                 ranges.append((first, stop))
                 i = stop
             elif self.at(i) in ("(", "[", "{"):
@@ -601,7 +606,7 @@ class Reader:
         stop = i + 1
         while stop < end and self.at(stop) != "|":
             stop = self.close(stop) + 1 if self.at(stop) in ("(", "[", "{") else stop + 1
-        for k in range(i + 1, stop):
+        for k in range(i + 1, min(stop, end)):
             if self.t.kind[k] == "id" and self.at(k) not in KEYWORDS and self.at(k - 1) in ("|", ",", "&", "mut", "("):
                 typed = self.at(k + 1) == ":"
                 path = self.type_at(k + 2, self.until(k, stop, ",")) if typed else []

@@ -48,10 +48,15 @@ def owner(path: str, folders: list[str]) -> str | None:
     return max(held, key=len, default=None)
 
 
+def _packages(manifests: dict[str, str]) -> dict[str, tuple[str, list]]:
+    """Folder -> (package name, explicit targets)."""
+    return {p.rpartition("/")[0]: m for p, text in manifests.items() if (m := parse_manifest(text))}
+
+
 def targets(repo: str, manifests: dict[str, str], files: list[str]) -> list[Target]:
     """Build targets from manifests (path -> text) and conventions; a repository without manifests is one package of its name."""
     there = set(files)
-    packages = {p.rpartition("/")[0]: m for p, text in manifests.items() if (m := parse_manifest(text))} or {"": (repo, [])}
+    packages = _packages(manifests) or {"": (repo, [])}
     out: dict[tuple[str, str], Target] = {}
 
     def add(package: str, kind: str, name: str, root: str) -> None:
@@ -86,6 +91,58 @@ def child_file(file: str, is_root: bool, inline: list[str], name: str, path: str
     return next((p for p in (_join(own, f"{name}.rs"), _join(own, f"{name}/mod.rs")) if p in there), None)
 
 
+def module_segments(parts: list[str], at_root: bool) -> list[str]:
+    """Module names of a path: a/b.rs is a, b and a/mod.rs is a; lib.rs and main.rs of a target's own folder are its root."""
+    *above, last = parts
+    stem = last.removesuffix(".rs")
+    own = [] if stem == "mod" or at_root and not above and stem in ("lib", "main") else [stem]
+    return [x.replace("-", "_") for x in (*above, *own)]
+
+
+def _convention(package: str, rest: str, has_lib: bool, has_main: bool) -> tuple[str, str, str, list[str]]:
+    """(target, kind, root, module segments) of a path below its package's folder."""
+    match rest.split("/"):
+        case ["build.rs"]:
+            return f"{package}_build", "build", rest, []
+        case ["src", "main.rs"]:
+            return f"{package}_bin" if has_lib else package, "bin", rest, []
+        case ["src", "bin", *below] | [("tests" | "examples" | "benches"), *below] if below:
+            where = rest.removesuffix("/" + "/".join(below))
+            kind = {"src/bin": "bin", "tests": "test", "examples": "example", "benches": "bench"}[where]
+            if len(below) == 1:
+                return below[0].removesuffix(".rs"), kind, rest, []
+            return below[0], kind, f"{where}/{below[0]}/main.rs", module_segments(below[1:], True)
+        case ["src", *below] if below:
+            return (package, "lib", "src/lib.rs", module_segments(below, True)) if has_lib or not has_main else (package, "bin", "src/main.rs", module_segments(below, True))
+        case parts:
+            return package, "lib", "", module_segments(parts, False)
+
+
+def by_path(repo: str, manifests: dict[str, str], files: list[str]) -> dict[str, tuple[Target, str]]:
+    """file -> (target, module path) of every file, from its path alone; files outside all packages belong to one of the repository's name."""
+    packages, there, out = _packages(manifests), set(files), {}
+    for f in files:
+        folder = owner(f, list(packages))
+        name, explicit = packages.get(folder, (repo, []))
+        start = f"{folder}/" if folder else ""
+        rest = f.removeprefix(start)
+        given = [(kind, target or name, _join("", path)) for kind, target, path in explicit if path]
+        root = next((g for g in given if g[2] == rest), None)
+        # a folder that only an explicit target names holds that target's modules
+        usual = {"lib": ("src/lib.rs",), "bin": ("src/main.rs", "src/bin/"), "test": ("tests/",), "example": ("examples/",), "bench": ("benches/",)}
+        held = [g for g in given if not g[2].startswith(usual[g[0]]) and "/" in g[2] and rest.startswith(g[2].rpartition("/")[0] + "/")]
+        if root:
+            kind, target, at, segments = *root, []
+        elif held:
+            kind, target, at = max(held, key=lambda g: g[2].count("/"))
+            segments = module_segments(rest.removeprefix(at.rpartition("/")[0] + "/").split("/"), False)
+        else:
+            target, kind, at, segments = _convention(name, rest, f"{start}src/lib.rs" in there, f"{start}src/main.rs" in there)
+        target = target.replace("-", "_")
+        out[f] = Target(name, target, kind, start + at), "::".join([target, *segments])
+    return out
+
+
 def _join(folder: str, rest: str) -> str:
     parts: list[str] = []
     for p in f"{folder}/{rest}".split("/"):

@@ -169,3 +169,30 @@ def test_streams(spark, tmp_path):
     key = lambda d: sorted((str(r["start"]), r["event_type"], r["n"], r["total"]) for r in d.collect())
     assert key(spark.table("w")) == key(windowed(df)) and len(key(windowed(df))) == 2
     assert sorted(r["n"] for r in sessions(df).collect()) == [1, 2]
+
+
+def test_every_rust_text_gives_its_module(spark):
+    texts = {
+        "src/a/b.rs": "pub fn f() {}", "src/a.rs": "pub mod b;\nfn g() { b::f(); }", "src/c/mod.rs": "struct C;", "crates/x-y/src/order.rs": "fn o() {}", "crates/x-y/Cargo.toml": '[package]\nname = "x-y"',
+        "build.rs": "fn main() {}", "tests/api.rs": "fn t() {}", "tests/deep/one.rs": "fn u() {}", "loose.rs": "fn l() {}", "cut.rs": "fn cut() { call(|a, b",
+    }
+    tables = fact_tables(spark.createDataFrame([("my-repo", p, t) for p, t in texts.items()], "repo_id string, path string, text string"))
+    parents = {r["id"]: r["parent"] for r in tables["symbols"].where("kind = 'module'").collect()}
+    assert parents == {
+        "mod:my_repo::a": None, "mod:my_repo::a::b": "mod:my_repo::a", "mod:my_repo::c": None, "mod:x_y::order": None, "mod:my_repo_build": None, "mod:api": None, "mod:deep::one": None, "mod:my_repo::loose": None, "mod:my_repo::cut": None,
+    }
+    assert [(r["from_id"], r["to_id"]) for r in tables["edges"].where("relation = 'CALLS'").collect()] == [("fn:my_repo::a::g", "fn:my_repo::a::b::f")]
+
+
+def test_mod_items_override_paths():
+    manifests = {"Cargo.toml": '[package]\nname = "p"\n[[bin]]\nname = "tool"\npath = "cmd/tool.rs"\n'}
+    texts = {"src/lib.rs": '#[path = "odd/name.rs"]\nmod given;', "src/odd/name.rs": "", "src/main.rs": "", "src/alone.rs": "fn a() {}", "cmd/tool.rs": "", "cmd/part.rs": ""}
+    assert {f: m for f, (_, m) in layout.by_path("r", manifests, list(texts)).items()} == {"src/lib.rs": "p", "src/odd/name.rs": "p::odd::name", "src/main.rs": "p_bin", "src/alone.rs": "p::alone", "cmd/tool.rs": "tool", "cmd/part.rs": "tool::part"}
+    ids = {s.id for s in analyse(manifests | texts, "r", unreached=True).symbols}
+    assert {"mod:p::given", "mod:p::alone", "fn:p::alone::a", "mod:tool::part"} <= ids and "mod:p::odd::name" not in ids
+
+
+def test_names_that_lead_to_each_other_end():
+    files = {"src/a.rs": "use crate::b::{x, y};\nfn f() { x::go(); y(); }\n", "src/b.rs": "pub use crate::a::{x, y};\n", "src/lib.rs": "pub mod a; pub mod b;\npub use a::x; use b::y;\n"}
+    r = analyse(files, "r")
+    assert not [e for e in r.edges if e.relation == "CALLS"] and sum(r.outcomes.values()) == 2
