@@ -196,3 +196,12 @@ def test_names_that_lead_to_each_other_end():
     files = {"src/a.rs": "use crate::b::{x, y};\nfn f() { x::go(); y(); }\n", "src/b.rs": "pub use crate::a::{x, y};\n", "src/lib.rs": "pub mod a; pub mod b;\npub use a::x; use b::y;\n"}
     r = analyse(files, "r")
     assert not [e for e in r.edges if e.relation == "CALLS"] and sum(r.outcomes.values()) == 2
+
+
+def test_ambiguous_calls_give_candidate_edges(spark):
+    text = "".join(f"struct S{n}; impl S{n} {{ fn go(&self) {{}} }}\n" for n in range(30)) + "fn f(all: Vec<S0>) {\n for x in all {\n x.go();\n x.go(); }\n for y in all { y.go(); } }\n"
+    tables = fact_tables(spark.createDataFrame([("r", "src/a.rs", text)], "repo_id string, path string, text string"))
+    found = tables["edges"].where("relation = 'CALLS_CANDIDATE'").collect()
+    assert {r["to_id"] for r in found} == {f"method:r::a::S{n}::go" for n in range(30)}
+    assert {(r["repo_id"], r["from_id"], r["resolution"], tuple(r["lines"])) for r in found} == {("r", "fn:r::a::f", None, (33, 34, 35))}
+    assert len(found) == 30 and tables["ambiguous_calls"].count() == 3
