@@ -241,3 +241,17 @@ class Hierarchy:
         below = self.tours.where("not endless").select("v", "root", "entry")
         inside = asked.join(below, "root").where("entry < hi and entry > lo").select("grp", "id", "v")
         return inside.join(ids.select("v", F.col("id").alias("descendant")), "v").select("grp", "id", "descendant")
+
+    def all_descendants(self) -> DataFrame:
+        """(grp, id, descendant) for every node that is not endless. Each node's chain of ancestors is doubled link by link, so work grows with the rows given and not with a tree's size squared."""
+        ended = self.tours.where("not endless").select("v")
+        above = F.when(F.col("p").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("p"))
+        state = self.scratch.keep(self.forest.join(ended, "v", "left_semi").select("v", F.col("p").alias("up"), above.alias("above")))
+        while not state.where("up is not null").isEmpty():
+            far = state.select(F.col("v").alias("up"), F.col("up").alias("up2"), F.col("above").alias("more"))
+            longer = state.join(far, "up", "left").select("v", F.col("up2").alias("up"), F.when(F.col("more").isNull(), F.col("above")).otherwise(F.concat("above", "more")).alias("above"))
+            following = self.scratch.keep(longer)
+            self.scratch.drop(state)
+            state = following
+        below = state.join(self.nodes.select("v", F.col("id").alias("descendant")), "v").select(F.explode("above").alias("v"), "descendant")
+        return below.join(self.nodes.select("v", "grp", "id"), "v").select("grp", "id", "descendant")

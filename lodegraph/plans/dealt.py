@@ -89,6 +89,11 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return h.descendants(roots).select(F.col("grp").alias("repo_id"), "id", "descendant")
 
 
+def p5_all_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """All descendants of each symbol, roots or not."""
+    return symbol_tree(spark, folder).all_descendants().select(F.col("grp").alias("repo_id"), "id", "descendant")
+
+
 def reference_sources(spark: SparkSession, folder: str) -> list[DataFrame]:
     edges = table(spark, folder, "edges").select("repo_id", F.explode(F.array("from_id", "to_id")).alias("ref"), "recorded_at")
     depends = table(spark, folder, "depends_on").select("repo_id", F.explode(F.array_distinct(F.transform("evidence", lambda e: e["to_id"]))).alias("ref"), "recorded_at")
@@ -134,7 +139,7 @@ def p7_joined(spark: SparkSession, folder: str) -> DataFrame:
     return balance.balanced_join(edges, shared, "to_id", "from_id").groupBy("kind").agg(F.count("*").alias("n_rows"), F.count("to_id").alias("n_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_per_run, p5_found, p5_tree, p5_descendants, p6_found, p6_counts, p7_found, p7_keys, p7_joined)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_per_run, p5_found, p5_tree, p5_descendants, p5_all_descendants, p6_found, p6_counts, p7_found, p7_keys, p7_joined)}
 
 _PATHS = r"""regexp_replace(regexp_replace(replace(path, '\', '/'), '(^|/)(\.?/)+', '\1', 'g'), '(/\.?)+$', '')"""
 _FILES = f"""
@@ -195,6 +200,8 @@ ORACLES = {
         n AS (SELECT repo_id, a AS id, count(*) - 1 AS n_descendants FROM up GROUP BY ALL)
         SELECT l.repo_id, l.id, t.path, t.depth, t.root_id, n.n_descendants FROM linked l LEFT JOIN tree t USING (repo_id, id) LEFT JOIN n USING (repo_id, id)""",
     "p5_descendants": _TREE + " SELECT repo_id, root_id AS id, id AS descendant FROM tree WHERE depth > 0",
+    "p5_all_descendants": _TREE + """, up AS (SELECT repo_id, id, p AS a FROM linked SEMI JOIN tree USING (repo_id, id) WHERE p IS NOT NULL UNION ALL SELECT u.repo_id, u.id, l.p FROM up u JOIN linked l ON l.repo_id = u.repo_id AND l.id = u.a WHERE l.p IS NOT NULL)
+        SELECT repo_id, a AS id, id AS descendant FROM up""",
     "p6_found": f"WITH {_REFS} SELECT tab, period, repo_id, ref_id, state FROM found WHERE state IS NOT NULL",
     "p6_counts": f"WITH {_REFS} SELECT tab, period, state, count(*) AS orphans FROM found WHERE state IS NOT NULL GROUP BY ALL",
     "p7_found": """SELECT 'edges' AS tab, to_id FROM edges WHERE to_id IS NOT NULL GROUP BY to_id HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)

@@ -75,3 +75,11 @@ def test_nulls_repeats_ties_and_empty(spark):
     assert got == {("r", "a"): ("b::a", 1), ("r", "b"): ("b", 0), (None, "a"): ("a", 0), ("r", "t"): ("b::t", 1), ("q", "b"): ("b", 0)}
     empty = Hierarchy(df.limit(0), "g", "id", F.col("up"), "at")
     assert empty.tree().count() == 0 and empty.endless().count() == 0
+
+
+def test_every_node_has_its_descendants(spark):
+    links = forest(60, 7)
+    h = build(spark, links)
+    got = [(r["id"], r["descendant"]) for r in h.all_descendants().collect()]
+    want = {(a, k) for k, c in brute(links).items() if c for a in c[:-1]}
+    assert sorted(got) == sorted(want) and any(a not in {c[0] for c in brute(links).values() if c} for a, _ in want)
