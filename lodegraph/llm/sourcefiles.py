@@ -10,6 +10,7 @@ strings or in quotes are only mentions and count for nothing.
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -68,7 +69,8 @@ _AS_DIGIT = {ord(str(d)): "9" for d in range(10)}
 def leading_comment(text: str) -> list[str]:
     """The comment lines at the head of a text, without their marks."""
     lines, inside = [], False
-    for line in text.lstrip("﻿").split("\n", 120)[:120]:
+    for line in io.StringIO(text.lstrip("﻿"), newline="\n"):
+        line = line.removesuffix("\n")
         bare = line.strip()
         if not bare:
             continue

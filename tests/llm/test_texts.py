@@ -133,3 +133,12 @@ def test_harder_texts_get_higher_levels(spark):
         got = {r["doc_id"]: r["s"] for r in graded.select("doc_id", reading.level_column(steps).alias("s")).collect()}
         assert all(got[i] < 2.5 if i % 2 else got[i] > 3.5 for i in range(40))
     assert reading.text_counts(df.limit(0)).count() == 0
+
+
+def test_marks_after_a_long_licence():
+    from lodegraph.llm import sourcefiles
+
+    licence = "".join(f"// Line {n} of the licence.\n\n" for n in range(200))
+    assert sourcefiles.reasons("src/a.go", licence + "// Code generated by protoc-gen-go. DO NOT EDIT.\npackage a\n", None, "go") == ["generated_header"]
+    assert sourcefiles.reasons("src/a.go", licence + "package a\n// Code generated by x\n", None, "go") == []
+    assert sourcefiles.leading_comment("// a\n" * 5000) == ["a"] * 5000
