@@ -1,7 +1,9 @@
-"""Syntax checks over tables of source files; the grammars are in ``syntax``."""
+"""Syntax checks over tables of source files; pieces, summaries and grammars are in ``syntax``."""
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm import syntax
+from lodegraph.llm.lexing import State
 
-#: Texts of more characters are lexed in pieces of this size, in parallel.
-PIECE = 1 << 20
+#: Texts of more characters are read by several tasks, in parts of PART characters, FAN of which one task composes.
+SPREAD, PART, FAN = 1 << 20, 1 << 18, 8
+_ROWS = "doc_id bigint, broken boolean, k int, lang_ string, body string"
 
 
 def language_column(path: Column) -> Column:
@@ -22,47 +26,69 @@ def language_column(path: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), extension)
 
 
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        broken = [not syntax.parses(lang, t) for lang, t in zip(b["lang_"], b["text"])]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "broken": pd.Series(broken, dtype=bool)})
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    b = pd.DataFrame(rows, columns=["doc_id", "broken", "k", "lang_", "body"])
+    return b.astype({"doc_id": "Int64", "broken": "boolean", "k": "Int32", "lang_": object, "body": object})
 
 
-def _cut(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pd.DataFrame], spread: int, part: int) -> Iterator[pd.DataFrame]:
+    """Verdicts on texts that one task reads; parts of the others."""
     for b in batches:
+        known = []
         for d, lang, t in zip(b["doc_id"], b["lang_"], b["text"]):
-            t = syntax._hashbang(lang, t).replace("\r\n", "\n")
-            for k, piece in enumerate(syntax.pieces(t, size)):
-                yield pd.DataFrame({"doc_id": [d], "k": [k], "lang_": [lang], "piece": [piece]})
+            if len(t) <= spread:
+                known.append((d, not syntax.parses(lang, t), None, None, None))
+                continue
+            for k, p in enumerate(syntax.pieces(syntax.prepare(lang, t), part)):
+                yield _frame([(d, None, k, lang, p)])
+        yield _frame(known)
 
 
-def _map(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        maps = [syntax.piece_map(lang, p) for lang, p in zip(b["lang_"], b["piece"])]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "k": b["k"], "lang_": b["lang_"], "ends": [[e for e, _ in m] for m in maps], "strings": [[s for _, s in m] for m in maps]})
+def pack(s: syntax.Summary | syntax.Python) -> str:
+    if isinstance(s, syntax.Python):
+        return json.dumps([s.text, s.known, s.ok])
+    return json.dumps([s.text, [[a, b, t] for a, (b, t) in s.by.items()]])
 
 
-def _fold(b: pd.DataFrame) -> pd.DataFrame:
-    b = b.sort_values("k")
-    maps = [list(zip(map(int, e), s)) for e, s in zip(b["ends"], b["strings"])]
-    lang = b["lang_"].iloc[0]
-    return pd.DataFrame({"doc_id": [b["doc_id"].iloc[0]], "broken": [not syntax.verdict(lang, reduce(syntax.compose, maps))]})
+def unpack(language: str, body: str) -> syntax.Summary | syntax.Python:
+    if language == "python":
+        return syntax.Python(*json.loads(body))
+    text, by = json.loads(body)
+    return syntax.Summary(language, text, {State(*a): (State(*b), t) for a, b, t in by})
 
 
-def check_syntax(docs: DataFrame, piece: int = PIECE) -> DataFrame:
+def _combine(batches: Iterator[pd.DataFrame], fan: int | None) -> Iterator[pd.DataFrame]:
+    """Passes verdicts on. Neighbouring parts become one summary each ``fan`` of them; without a fan summaries become verdicts."""
+    parts: dict[tuple, list] = defaultdict(list)
+    for b in batches:
+        yield _frame(list(b[b["k"].isna()].itertuples(index=False, name=None)))
+        for d, _, k, lang, body in b[b["k"].notna()].itertuples(index=False, name=None):
+            parts[d, int(k) // fan if fan else 0, lang].append((int(k), body))
+    for (d, g, lang), held in parts.items():
+        held.sort()
+        if not fan:
+            whole = reduce(syntax.compose, [unpack(lang, body) for _, body in held])
+            yield _frame([(d, not syntax.verdict(whole), None, None, None)])
+            continue
+        maps = [syntax.piece_map(lang, body) for _, body in held]
+        if held[0][0] == 0 and lang == "python":
+            maps[0] = maps[0].first()
+        yield _frame([(d, None, g, lang, pack(reduce(syntax.compose, maps)))])
+
+
+def check_syntax(docs: DataFrame, spread: int = SPREAD, part: int = PART, fan: int = FAN) -> DataFrame:
     """(doc_id, broken) of each text in a language that can be parsed.
 
     docs: doc_id (unique), path, text; other columns are not read. Null, empty
-    and blank texts, null paths and other extensions give no row. Texts above
-    ``piece`` characters are cut at line ends, their pieces become lexer-state
-    maps in parallel and are folded in order; Python is parsed whole.
+    and blank texts, null paths and other extensions give no row; repeated rows
+    give one each. Every text is read piece by piece and its summaries are
+    composed; those above ``spread`` characters by several tasks in two rounds.
+    The table is scanned once, only verdicts and parts of long texts are shuffled.
     """
     known = docs.select("doc_id", "text", language_column(F.col("path")).alias("lang_")).where(F.col("lang_").isNotNull() & F.col("text").rlike(r"\S"))
-    is_long = (F.length("text") > piece) & (F.col("lang_") != "python")
-    short = known.where(~is_long).mapInPandas(_check, "doc_id bigint, broken boolean")
-    cut = known.where(is_long).mapInPandas(lambda it: _cut(it, piece), "doc_id bigint, k int, lang_ string, piece string")
-    maps = cut.repartition("doc_id", "k").mapInPandas(_map, "doc_id bigint, k int, lang_ string, ends array<int>, strings array<string>")
-    return short.unionByName(maps.groupBy("doc_id").applyInPandas(_fold, "doc_id bigint, broken boolean"))
+    rows = known.mapInPandas(lambda it: _read(it, spread, part), _ROWS)
+    rows = rows.repartition("doc_id", F.floor(F.col("k") / fan)).mapInPandas(lambda it: _combine(it, fan), _ROWS)
+    return rows.repartition("doc_id").mapInPandas(lambda it: _combine(it, None), _ROWS).select("doc_id", "broken")
 
 
 def rates(docs: DataFrame, checked: DataFrame) -> DataFrame:

@@ -1,377 +1,315 @@
 """Which source texts do not parse.
 
-A text becomes a string with one character per token class. Balanced groups are
-checked against the local grammar of their bracket and replaced by one
-character, innermost first, until only the top level is left, which must be a
-sequence of whole items or statements.
-
-The work is associative, so texts of any length are handled in pieces. A piece
-is a map from the lexer state at its start (code, block comment, each kind of
-multi-line string) to the state at its end and the reduced class string:
-balanced groups gone, unmatched brackets kept. Two maps compose by following
-the state and reducing the joined strings. Python texts go to the interpreter's
-own parser.
-
-The grammars are local: they tell pairs and statements that no valid program
-has. Names, types and rules that need more than one statement are not checked.
+A piece of a text becomes a map from the lexer state at its start to the state
+at its end and a bracket summary: one character per token, each balanced group
+replaced by one character that tells as what the group is valid (``grammars``),
+unmatched brackets kept. Two neighbours compose by following the state and
+reducing what their brackets close together, so summaries reduce in any
+grouping; what is left of a whole text must be whole items or statements. A
+piece is read from the states that are likely; where its start turns out to be
+another one it is read again from its text, which a summary carries along.
+
+Python is summarised likewise: statements that are complete within a piece are
+parsed there by the interpreter's own parser, the rest is kept as text.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+import sys
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-_SPACE = r"[^\S\n]+|﻿"
-_LINE, _BLOCK = r"//[^\n]*", r"/\*(?:[^*]|\*(?!/))*+\*/"
-_WORD = r"[^\W\d]\w*"
-_NUMBER = r"0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?"
-_STRING = r'"(?:[^"\\\n]|\\[\s\S])*+"'
-_QUOTED = r"'(?:[^'\\\n]|\\[\s\S])*+'"
+from lodegraph.llm.grammars import BASE, GRAMMARS
+from lodegraph.llm.lexing import BAD, CODE, LEXERS, SUB_CLOSE, SUB_OPEN, State
+from lodegraph.llm.peg import END
 
-BAD = "\x00"
-
-
-class _Classes(dict):
-    """Token text to class; words, numbers and quoted texts are told by their first character and remembered."""
-
-    def __init__(self, fixed: dict[str, str], fallback: Callable[[str], str]):
-        super().__init__(fixed)
-        self._fallback, self._room = fallback, 200_000
-
-    def __missing__(self, token: str) -> str:
-        c = self._fallback(token)
-        if self._room and len(token) < 40:
-            self._room -= 1
-            self[token] = c
+#: fixed values: extensions of the languages that can be parsed here
+EXTENSIONS = {"rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go"}
+#: Characters of a piece; texts are cut at the line end that follows.
+PIECE = 4096
+#: Rules call each other as deeply as operators without brackets nest; the frames are on the heap.
+DEPTH = 1_000_000
+
+_CLOSES = {")": "(", "]": "[", "}": "{", SUB_CLOSE: SUB_OPEN}
+_BRACKET = re.compile(rf"([()\[\]{{}}{SUB_OPEN}{SUB_CLOSE}])")
+
+
+class Reducer:
+    """Groups of one language to characters; equal groups are parsed once."""
+
+    def __init__(self, language: str):
+        self.g = GRAMMARS[language]
+        self._known: dict[tuple[str, str], str] = {}
+        self._opaque = language == "rust"
+
+    def group(self, bracket: str, inner: str) -> str:
+        key = (bracket, inner)
+        c = self._known.get(key)
+        if c is None:
+            g = self.g
+            s = (g.tidy(inner, bracket) if g.tidy else inner) + END
+            mask = sum(1 << k for k, name in enumerate(g.roles[bracket]) if g.rules.whole(name, s))
+            # any tokens may be arguments of a Rust macro; elsewhere a group without a role is wrong
+            c = chr(BASE[bracket] + mask) if (mask or self._opaque) and BAD not in inner else BAD
+            if len(self._known) > 200_000:
+                self._known.clear()
+            self._known[key] = c
         return c
 
-
-def _fixed(**groups: str) -> dict[str, str]:
-    return {token: c for c, tokens in groups.items() for token in tokens.split()}
-
-
-@dataclass
-class Grammar:
-    token: re.Pattern
-    classes: _Classes
-    #: (opening text in code, closing pattern) of what may span lines, by lexer state from 1 on.
-    spans: list[tuple[str, re.Pattern]]
-    tidy: Callable[[str], str]
-    group: Callable[[str, str, str], str]
-    top: Callable[[str], bool]
-    resume: dict[int, str] = field(default_factory=dict)
-
-
-# --- Rust -------------------------------------------------------------------
-
-#: Block comments nest in Rust; this many levels are followed.
-NESTING = 6
-_NESTED = r"(?:[^*/]|\*(?!/)|/(?!\*))*+"
-for _ in range(NESTING):
-    _NESTED = rf"(?:[^*/]|\*(?!/)|/(?!\*)|/\*{_NESTED}\*/)*+"
-
-_RUST_TOKEN = re.compile(
-    rf"(?:{_SPACE}|\n|//(?![/!])[^\n]*|////[^\n]*|/\*\*/|/\*\*\*{_NESTED}\*/|/\*(?![*!]){_NESTED}\*/)*+"
-    rf"(///[^\n]*|//![^\n]*|/\*[*!]{_NESTED}\*/|(?:br|cr|r)(?P<h>#*)\"[\s\S]*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\[\s\S])*+\"|b?'(?:[^'\\\n]|\\[^\n]+?)'|'{_WORD}"
-    rf"|r#{_WORD}|{_NUMBER}(?:_?(?:[iu](?:8|16|32|64|128|size)|f32|f64))?(?!\w)|{_WORD}|::|->|=>|\.\.[.=]?|[=!<>]=(?!=)|==|&&|[+\-*/%^&|]=|[\s\S]|\Z)"
-)
-_RUST_WORDS = _fixed(
-    F="fn", L="let", M="mut ref", V="pub", S="struct enum trait union", I="impl", O="mod", U="use", C="const static", Y="type", W="where", f="for", N="in", a="if", e="else", m="match", w="while",
-    o="loop", r="return", b="break continue", A="as", q="async unsafe extern dyn move", h="await",
-) | {"::": "p", "->": "t", "=>": "g", "..": "~", "...": "~", "..=": "~", "": ""} | {x: "c" for x in ("==", "!=", "<=", ">=")} | {x: "x" for x in "+= -= *= /= %= ^= &= |=".split()}
-_RUST_WORDS["&&"] = "&"
-_RUST_WORDS["union"] = "i"
-
-
-def _rust_class(t: str) -> str:
-    c = t[0]
-    if t.startswith(("///", "/**")):
-        return "D"
-    if t.startswith(("//!", "/*!")):
-        return "d"
-    if len(t) > 1 and t[-1] == '"' or c == "'" and t[-1] == "'" and len(t) > 2 or c == "b" and t[-1] == "'":
-        return "s"
-    if c == "'" and len(t) > 1:
-        return "l"
-    if c.isalpha() or c == "_":
-        return "i"
-    if c.isdigit():
-        return "n"
-    return t if t in "()[]{};,:.=+-*/%^&|<>!?#$@" else BAD
-
-
-_RUST_BAD = re.compile(
-    r"\x00|<<<|>{6}|(?<![qV#])(?<!#!)[ins][ins](?<!qs)|(?<!V)(?<![!])P[ins]|(?<![#!i>P])Q[ins]|[in][FLVSIOUCYmwo](?<!if)|[c=x+/%^~t][c=x+/%^]|[=x][;,:.?e)~c+/%^]|[=xct%^]\Z|,,|:[;,:=)]|:\Z"
-    r"|\.[^inhm]|p[^i<B*FPl]|L[^iM&PQns~|<\-]|F[^iP<]|S[^i]|O[^i]|(?<![aw&|(\[])L[^;]*\Z|(?<![#,;|(gBD])a[^B;g]*(?:;|\Z)|[mw][^B;]*(?:;|\Z)|o[^B]|e[^Ba]|e\Z|(?:D|#Q|V|VP|F|q|U|S|I|O|C|M)\Z|Fi[^B;=,>)]*\Z|D[,;)]|@\Z|@[@+;,]|\+\+|(?:^|;)[+/%^c,=]|[+/%^c=][FVSIOUCY]"
-)
-_RUST_TOP = re.compile(
-    r"(?:(?:d|#!Q)*+)(?:(?:#Q|D)*+(?:VP?+)?(?:U[^;]*+;|C[^;F=]*+=[^;]*+;|[qsC]*+F[iP][^;B]*+(?:B|;)|q*+S i?[^;B]*+(?:B;?|;)|q*+I[^;B]*+B|Oi(?:B|;)|Y[^;]*+;|i(?:pi)*!i?(?:B;?|[PQ];)|ii[^;B]*+B|q[qsi]*+(?:A i)?(?:B|;)))*+;*".replace(" ", "")
-)
-
-
-def _rust_group(before: str, bracket: str, inner: str) -> str:
-    if "$" in inner and BAD not in inner:
-        return ""
-    if before == "!" or before == "#":
-        return BAD if BAD in inner else ""
-    if _RUST_BAD.search(inner) or "d" in inner.lstrip("d") and re.search(r"[^dQ]d", inner):
-        return BAD
-    if bracket == "(" and (inner.startswith(",") or re.search(r"(?<!Q);", inner)):
-        return BAD
-    return ""
-
-
-def _rust_top(s: str) -> bool:
-    s = s.replace("!i", "!").replace("##", "#")
-    return not _RUST_BAD.search(s) and bool(_RUST_TOP.fullmatch(s))
-
-
-# --- JavaScript and TypeScript ----------------------------------------------
-
-_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|\{[^{}`]*\})*\}|`(?:[^`\\]|\\[\s\S])*`)*+\})*+`"
-_JS_TOKEN = re.compile(
-    rf"(?:{_SPACE}|{_LINE}|{_BLOCK})*+({_TEMPLATE}|{_STRING}|{_QUOTED}|(?:(?<=[=(,:\[!&|?{{}};\n])|(?<=[=(,:\[!&|?{{}};>] )|(?<=return ))/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|(?:{_NUMBER})n?(?![\w$])"
-    rf"|#?[^\W\d][\w$]*|#?\$[\w$]*|===|!==|==|!=|=>|\.\.\.|\?\.(?!\d)|\?\?=?|&&=?|\|\|=?|\*\*=?|\+\+|--|<=|[+\-*/%&|^]=|[\s\S]|\Z)"
-)
-_JS_WORDS = _fixed(
-    F="function", K="class", C="const", L="let var", a="if", e="else", f="for", w="while", d="do", S="switch", k="case", D="default", r="return throw", b="break continue debugger", N="new",
-    u="typeof void delete await yield", o="instanceof in", t="try", h="catch", y="finally", M="import", X="export", E="extends", c="async get set static", z="from of as",
-) | {"": "", "=>": "g", "...": "R", "?.": ".", "++": "v", "--": "v", "\n": "\n", "<=": "l", "enum": BAD, "with": "w"}
-_JS_WORDS |= {x: "~" for x in "=== !== == !=".split()} | {x: "l" for x in "?? && || **".split()} | {x: "x" for x in "??= &&= ||= **= += -= *= /= %= &= |= ^=".split()}
-_TS_WORDS = _JS_WORDS | _fixed(c="async get set static interface type namespace declare abstract readonly private public protected override enum keyof infer unique asserts module accessor global", z="from of as is satisfies implements")
-
-
-def _js_class(t: str) -> str:
-    c = t.lstrip(" ")[0] if t.strip(" ") else t[0]
-    if len(t) > 1 and c in "\"'`/":
-        return "s"
-    if c.isalpha() or c in "_$" or c == "#" and len(t) > 1:
-        return "i"
-    if c.isdigit() or c == "." and len(t) > 1:
-        return "n"
-    return c if c in "()[]{};,:.=+-*/%^&|<>!?~@" and len(t) == 1 else ("T" if c == "~" else BAD)
-
-
-_JS_END, _JS_START = "insPQqBczbrv", "insFKCLafwdSrbNutMXczvk!@D"
-_ASI = re.compile(rf"(?<=[{_JS_END}>])\n(?=[{_JS_START}])")
-_JS_RENAME = re.compile(r"(?<=\.)[A-Za-z](?![a-z]?\x00)|(?<=[,{\n])[A-Zadefhkortuwy](?=[:,}])|(?<=[,{\n])[Dhydotu](?=\()")
-_COMMON = (
-    r"\x00|<<<|>{5}|[ins](?:[ns]|i)|(?<!P)(?<![hfwaSu])P[ns](?<!NP)|[ins][afwdSrbtXMCLFKNk]|z[MXCLF]|[CL][^iczBQ]|[~l=x*/%^g][~l=x*/%^]|[=x~l*/%^][;,:)?]|[=x~l+\-*/%^!&|.NuRX@C]\Z|\.[^iczQP<q]"
-    r"|F[^*iczP<]|[aS][^P]|f[^Pu]|w[^P]|SP[^B]|t[^B]|tB[^hy]|tB\Z|h[^PB]|y[^B]|[af]P\Z|e\Z|N[^iczPFK.B]|X[^CLFKDB*iczM@=]|M[^sBicz*P.]|K[^iczBE<@]|K[icz]\Z|F[icz]?\Z|F[icz]?P\Z|C[icz];|C[icz]\Z|@[@;,+\-]|,;|R[;,)]|EB|(?:^|;)[*%^,.=)?x~l]"
-)
-_JS_BAD = re.compile(_COMMON + r"|P[i](?<![hfwaS]Pi)(?<![u]Pi)|[icz]q(?![=\]])|[CL][icz]:|F\*?[icz]?P[^B]|(?:^|[;B])c*iP:|K[icz](?:E[icz.]+P?)?[^BE.iczP]|Mi[^z,]|(?:^|;)<|=<")
-_TS_BAD = re.compile(_COMMON + r"|Mi[^z,=.]|(?:^|;)<")
-_JS_PARENS, _TS_PARENS = re.compile(r",,|^,|(?:^|,)[icz]:|;.*;.*;"), re.compile(r",,|^,|;.*;.*;")
-
-
-def _js_tidy(s: str) -> str:
-    s = re.sub(r"\n[\n]*", "\n", s)
-    return _JS_RENAME.sub("i", s)
-
-
-def _js_group_for(bad: re.Pattern, parens: re.Pattern) -> Callable[[str, str, str], str]:
-    def group(before: str, bracket: str, inner: str) -> str:
-        if bracket == "{":
-            inner = _ASI.sub(";", inner).replace("\n", "")
-        else:
-            inner = inner.replace("\n", "")
-            if bracket == "(" and parens.search(inner):
-                return BAD
-        if bad.search(inner):
+    def reduce(self, s: str) -> str:
+        """Balanced groups replaced, unmatched brackets kept; BAD alone where something can be in no valid text."""
+        if BAD in s:
             return BAD
-        if bracket == "{" and before in "\n;" and re.match(r"s:", inner):
-            return BAD
-        return "q" if bracket == "[" and not inner else ""
-
-    return group
-
-
-def _js_top_for(bad: re.Pattern) -> Callable[[str], bool]:
-    def top(s: str) -> bool:
-        s = _ASI.sub(";", s.strip("\n")).replace("\n", "")
-        return not bad.search(s) and not re.search(r"[(\[{)\]}]|(?:^|;)r", s)
-
-    return top
-
-
-# --- Go -----------------------------------------------------------------------
-
-_GO_TOKEN = re.compile(
-    rf"(?:{_SPACE}|{_LINE}|{_BLOCK})*+(`[^`]*`|{_STRING}|{_QUOTED}|(?:{_NUMBER})i?(?!\w)|{_WORD}|:=|\.\.\.|<-|&\^=?|&&|\|\||\+\+|--|==|!=|<=|>=|<<=?|>>=?|[+\-*/%&|^]=|[\s\S]|\Z)"
-)
-_GO_WORDS = _fixed(
-    p="package", M="import", F="func", T="type", S="struct", I="interface", m="map", h="chan", V="var", C="const", a="if", e="else", f="for", R="range", w="switch", L="select", k="case", D="default",
-    r="return", b="break continue goto fallthrough", g="go defer",
-) | {"": "", ":=": "d", "...": "~", "<-": "A", "++": "v", "--": "v", "\n": "\n"} | {x: "l" for x in "&& || == != <= >= << >> &^".split()} | {x: "x" for x in "+= -= *= /= %= &= |= ^= <<= >>= &^=".split()}
-
-
-def _go_class(t: str) -> str:
-    c = t[0]
-    if len(t) > 1 and c in "\"'`":
-        return "s"
-    if c.isalpha() or c == "_":
-        return "i"
-    if c.isdigit() or c == "." and len(t) > 1:
-        return "n"
-    return t if len(t) == 1 and t in "()[]{};,:.=+-*/%^&|<>!" else BAD
-
-
-_GO_SEMI = re.compile(r"(?<=[insrbv)\]}])\n")
-_GO_BAD = re.compile(
-    r"\x00|[ns][ins]|[in][arfwLpMFTVCgek](?<!iF)(?<!ir)|P[ns]|[l=xd*/%^.,+|][=xd/%;)|](?<!\*[)])(?<![,];)|[=xdl+\-/%^&|.]\Z|,,|\.[^iP]|F[^iPQ]|T[^iP]|[VC][^iP]|M[^isP.]|p[^i]|e[^Ba]|S[^B]|m[^Q]|h?w[^B]*\Z|a[^B]*\Z|f[^B]*\Z|L[^B]|r[rabgf]|k[^:]*\Z|D[^:]|[gR]\Z|g[^iFP]|R[;,)]|(?:^|;)[/%,=.)xdl]"
-)
-_GO_STATEMENT = re.compile(r"(?:^|;)i[insm]|(?:^|;)(?:i|n)(?:;|\Z)(?!\Z)")
-_GO_TOP = re.compile(r";*pi;+(?:M[^;]*+;+)*+(?:F[^;B]*+B?;+|[TVC][^;]*+;+)*+")
-
-
-def _go_tidy(s: str) -> str:
-    return _GO_SEMI.sub(";", s).replace("\n", "")
-
-
-def _go_group(before: str, bracket: str, inner: str) -> str:
-    if _GO_BAD.search(inner):
-        return BAD
-    if bracket == "(" and inner.startswith(","):
-        return BAD
-    if bracket == "{" and before not in "SI" and _GO_STATEMENT.search(inner):
-        return BAD
-    return ""
-
-
-def _go_top(s: str) -> bool:
-    s = s + ";"
-    return not _GO_BAD.search(s) and bool(_GO_TOP.fullmatch(s))
-
-
-_ENDS_BLOCK, _ENDS_TEMPLATE, _ENDS_RUST = re.compile(r"\*/"), re.compile(r"`"), re.compile(r'(?:[^"\\]|\\[\s\S])*+"')
-GRAMMARS = {
-    "rust": Grammar(_RUST_TOKEN, _Classes(_RUST_WORDS, _rust_class), [("/*", _ENDS_BLOCK), ('"', _ENDS_RUST), ('r"', re.compile('"')), ('r#"', re.compile('"#')), ('r##"', re.compile('"##'))], lambda s: s, _rust_group, _rust_top),
-    "javascript": Grammar(_JS_TOKEN, _Classes(_JS_WORDS, _js_class), [("/*", _ENDS_BLOCK), ("`", _ENDS_TEMPLATE)], _js_tidy, _js_group_for(_JS_BAD, _JS_PARENS), _js_top_for(_JS_BAD)),
-    "typescript": Grammar(_JS_TOKEN, _Classes(_TS_WORDS, _js_class), [("/*", _ENDS_BLOCK), ("`", _ENDS_TEMPLATE)], _js_tidy, _js_group_for(_TS_BAD, _TS_PARENS), _js_top_for(_TS_BAD)),
-    "go": Grammar(_GO_TOKEN, _Classes(_GO_WORDS, _go_class), [("/*", _ENDS_BLOCK), ("`", _ENDS_TEMPLATE)], _go_tidy, _go_group, _go_top),
+        parts = _BRACKET.split(s)
+        done, opened, held = "", [], parts[0]
+        for i in range(1, len(parts), 2):
+            b, after = parts[i], parts[i + 1]
+            if b in BASE:
+                opened.append((b, held))
+                held = after
+            elif opened:
+                o, before = opened.pop()
+                if o != _CLOSES[b]:
+                    return BAD
+                c = self.group(o, held)
+                if c == BAD:
+                    return BAD
+                held = before + c + after
+            else:
+                done += held + b
+                held = after
+        return done + "".join(before + o for o, before in opened) + held
+
+    def whole(self, s: str) -> bool:
+        """Whether a summary is that of a valid text."""
+        if BAD in s or _BRACKET.search(s):
+            return False
+        return self.g.rules.whole(self.g.start, (self.g.tidy(s, "") if self.g.tidy else s) + END)
+
+
+_REDUCERS: dict[str, Reducer] = {}
+
+
+def reducer(language: str) -> Reducer:
+    if language not in _REDUCERS:
+        sys.setrecursionlimit(max(DEPTH, sys.getrecursionlimit()))
+        _REDUCERS[language] = Reducer(language)
+    return _REDUCERS[language]
+
+
+#: States that pieces are read from beforehand.
+LIKELY = {
+    "rust": (CODE, State("comment", "1"), State("string", "\\")),
+    "javascript": (CODE, State("comment"), State("template")),
+    "typescript": (CODE, State("comment"), State("template")),
+    "go": (CODE, State("comment"), State("string", "`")),
 }
-#: fixed values: extensions of the languages that can be parsed here
-EXTENSIONS = {"rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go"}
+_SLASH = re.compile(r"(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*/")
 
-_INNER = re.compile(r"([^(){}\[\]]?)(?:\(([^(){}\[\]]*)\)|\[([^(){}\[\]]*)\]|\{([^(){}\[\]]*)\})")
-_SYMBOL = {"(": "P", "[": "Q", "{": "B"}
 
+@dataclass
+class Summary:
+    """What a piece does. ``by`` maps the states it was read from to (state after, bracket summary)."""
+
+    language: str
+    text: str
+    by: dict[State, tuple[State, str]] = field(default_factory=dict)
+
+    def at(self, state: State, last: bool = False) -> tuple[State, str]:
+        """(state after, summary) from a state, read again from the text only where that was not foreseen."""
+        plain = self._plain(state)
+        if plain in self.by:
+            after, s = self.by[plain]
+            return (after if plain == state else _shift(state, after)), s
+        s, after = LEXERS[self.language].lex(self.text, state, last)
+        found = after, reducer(self.language).reduce(s)
+        if state == plain:
+            self.by[plain] = found
+        return found
+
+    def _plain(self, state: State) -> State:
+        """The state without what makes no difference to this piece."""
+        if self.language not in ("javascript", "typescript"):
+            return state
+        if SUB_OPEN in state.stack or "k" in state.stack or state.value and _SLASH.match(self.text):
+            return state
+        return State(state.mode)
+
+
+def _shift(before: State, after: State) -> State:
+    """A state reached from unknown brackets, seen from known ones."""
+    closed = int(after.arg or 0)
+    kept = before.stack[: len(before.stack) - closed] if closed < len(before.stack) else ""
+    return after._replace(stack=kept + after.stack, arg=str(int(before.arg or 0) + max(0, closed - len(before.stack))))
+
+
+def piece_map(language: str, text: str) -> Summary | Python:
+    """The summary of a piece, from every likely state."""
+    if language == "python":
+        return Python.of(text)
+    out = Summary(language, text)
+    for state in LIKELY[language]:
+        out.at(state)
+    return out
 
-def reduce(g: Grammar, s: str) -> str:
-    """Replaces balanced groups by P, Q or B, or by BAD where one breaks its local grammar; unmatched brackets stay."""
 
-    def group(m: re.Match) -> str:
-        bracket = m.group()[len(m.group(1))]
-        inner = m.group(m.lastindex)
-        return m.group(1) + (g.group(m.group(1), bracket, inner) or _SYMBOL[bracket])
+def compose(a: Summary | Python, b: Summary | Python) -> Summary | Python:
+    """The summary of two neighbours; associative."""
+    if isinstance(a, Python):
+        return a.then(b)
+    out = Summary(a.language, a.text + b.text)
+    join = reducer(a.language).reduce
+    for state, (mid, s) in a.by.items():
+        after, t = b.at(mid)
+        out.by[state] = (after, join(s + t))
+    return out
 
-    while True:
-        shorter = _INNER.sub(group, s)
-        if shorter == s:
-            return s
-        if BAD in shorter:
-            return BAD
-        s = shorter
 
+def verdict(whole: Summary | Python) -> bool:
+    """Whether the text of a composed summary, which starts and must end in code, is valid."""
+    if isinstance(whole, Python):
+        return whole.valid()
+    after, s = whole.at(CODE)
+    return after.mode == "code" and reducer(whole.language).whole(s)
 
-def classes(g: Grammar, text: str) -> str:
-    """One character per token; line ends only where the language heeds them."""
-    found = g.token.findall(text)
-    if found and isinstance(found[0], tuple):
-        found = [f[0] for f in found]
-    return "".join(map(g.classes.__getitem__, found))
 
+# --- Python -------------------------------------------------------------------
 
-def _whole(g: Grammar, s: str) -> bool:
-    s = g.tidy(s)
-    if BAD in s or s.count("(") != s.count(")") or s.count("[") != s.count("]") or s.count("{") != s.count("}"):
-        return False
-    s = reduce(g, s)
-    return BAD not in s and g.top(s)
+_PY_TOKEN = re.compile(
+    r"""(?P<skip>[^'"()\[\]{}#\\\n]+|\#[^\n]*|\\.)|(?P<cont>\\\n)|(?P<line>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])"""
+    r"""|(?P<long>\"\"\"|''')|(?P<str>"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+')|(?P<bad>['"\\])"""
+)
+_PY_LONG = {q: re.compile(rf"(?:[^\\]|\\[\s\S])*?{q}") for q in ('"""', "'''")}
+#: A line that starts a statement of its own at the outermost level.
+_PY_START = re.compile(r"(?!(?:else|elif|except|finally)\b)[\w@\"'(\[{*~+\-.]")
 
 
 def _python(text: str) -> bool:
+    """Whether the interpreter's parser takes a text; what exceeds its own limits of nesting it does not take."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("﻿"))
+            ast.parse(text)
         return True
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False
-    except (RecursionError, MemoryError):
-        return True
 
 
-def _hashbang(language: str, text: str) -> str:
-    text = text.removeprefix("﻿")
-    if text.startswith("#!") and language != "go" and not (language == "rust" and re.match(r"#!\s*\[", text)):
-        return text.partition("\n")[2]
-    return text
+def _statements(text: str) -> list[int]:
+    """Where lines start that begin a statement at the outermost level, read from code outside brackets."""
+    starts, at, depth, n, fresh, joined = [], 0, 0, len(text), True, False
+    decorated = False
+    while at < n:
+        if fresh and not depth and not joined and _PY_START.match(text, at):
+            if not decorated:
+                starts.append(at)
+            decorated = text[at] == "@"
+        fresh = joined = False
+        m = _PY_TOKEN.match(text, at)
+        if not m:
+            break
+        kind, at = m.lastgroup, m.end()
+        if kind == "line":
+            fresh = True
+        elif kind == "cont":
+            fresh = joined = True
+        elif kind == "open":
+            depth += 1
+        elif kind == "close":
+            depth = max(0, depth - 1)
+        elif kind == "long":
+            end = _PY_LONG[m.group()].match(text, at)
+            if not end:
+                break
+            at = end.end()
+        elif kind == "bad":
+            break
+    return starts
 
 
-def parses(language: str, text: str) -> bool:
-    """Whether a text is valid; blank texts are."""
-    if not text.strip():
-        return True
-    if language == "python":
-        return _python(text)
-    g = GRAMMARS[language]
-    return _whole(g, classes(g, _hashbang(language, text).replace("\r\n", "\n")))
+@dataclass
+class Python:
+    """A piece of Python: text before the first line that can start a statement, and what follows of it that is not parsed yet.
+
+    A piece does not know what its first lines belong to, so they are kept and
+    read with the piece before. ``closed`` tells that complete statements were
+    parsed between head and tail, ``ok`` that all of them are valid.
+    """
+
+    text: str
+    known: bool = False
+    ok: bool = True
+
+    @staticmethod
+    def of(text: str) -> Python:
+        return Python(text)
+
+    def _settle(self, start: bool) -> Python:
+        """Parses what is complete, given that the text starts outside all brackets and strings."""
+        if not self.ok:
+            return self
+        starts = _statements(self.text)
+        if len(starts) < 2:
+            return Python(self.text, start, True)
+        done, rest = self.text[: starts[-1]], self.text[starts[-1] :]
+        cuts = [0, *starts[1:-1], len(done)]
+        ok = all(_python(done[a:b]) for a, b in zip(cuts, cuts[1:]))
+        return Python(rest, start, ok)
+
+    def then(self, other: Python) -> Python:
+        joined = Python(self.text + other.text, self.known, self.ok and other.ok)
+        return joined._settle(True) if self.known else joined
+
+    def first(self) -> Python:
+        """The piece read as the start of a text."""
+        return Python(self.text, True, self.ok)._settle(True)
+
+    def valid(self) -> bool:
+        return self.ok and _python(self.text)
+
+
+# --- Texts ----------------------------------------------------------------------
+
+
+def prepare(language: str, text: str) -> str:
+    """A text without byte-order mark and hashbang, lines ended by ``\\n``."""
+    text = text.removeprefix("﻿").replace("\r\n", "\n")
+    if language != "python":
+        if text.startswith("#!") and language != "go" and not (language == "rust" and re.match(r"#!\s*\[", text)):
+            text = text.partition("\n")[2]
+    return text
 
 
-# --- Pieces of long texts -----------------------------------------------------
+_CUT = re.compile(r"(?<!\\)\n")
 
 
 def pieces(text: str, size: int) -> Iterator[str]:
-    """Pieces of at least ``size`` characters that end at a line end."""
+    """Pieces of at least ``size`` characters that end at a line end which no backslash takes back."""
     at = 0
     while at < len(text):
-        cut = text.find("\n", min(at + size, len(text)))
-        cut = len(text) if cut < 0 else cut + 1
+        m = _CUT.search(text, min(at + size, len(text)))
+        cut = m.end() if m else len(text)
         yield text[at:cut]
         at = cut
 
 
-def _open_span(g: Grammar, text: str) -> tuple[str, int]:
-    """(the code before a span that the piece opens and does not close, its state); state 0 where there is none."""
-    last = 0
-    for m in g.token.finditer(text):
-        token = m.group(1)
-        start = m.start(1)
-        for state in range(len(g.spans), 0, -1):
-            opening = g.spans[state - 1][0]
-            if token == opening[0] and text.startswith(opening, start) or opening[0] == "r" and token == "r" and text.startswith(opening, start):
-                return text[:start], state
-        last = m.end()
-    return text[:last] if last else text, 0
-
-
-def piece_map(language: str, text: str) -> list[tuple[int, str]]:
-    """For each state at the start: (state at the end, reduced class string). Spans of Python are left to its parser."""
-    g = GRAMMARS[language]
-    out = []
-    for state in range(len(g.spans) + 1):
-        head, rest = "", text
-        if state:
-            m = g.spans[state - 1][1].search(text)
-            if not m:
-                out.append((state, ""))
-                continue
-            head, rest = ("" if g.spans[state - 1][0] == "/*" else "s"), text[m.end() :]
-        code, end = _open_span(g, rest)
-        out.append((end, head + classes(g, code)))
-    return out
-
-
-def compose(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """The map of two neighbouring pieces; associative."""
-    return [(b[mid][0], s + b[mid][1]) for mid, s in a]
-
-
-def verdict(language: str, whole: list[tuple[int, str]]) -> bool:
-    """Whether the text of a composed map is valid, which must start and end in code."""
-    end, s = whole[0]
-    return end == 0 and _whole(GRAMMARS[language], s)
+def parses(language: str, text: str, size: int = PIECE) -> bool:
+    """Whether a text is valid; blank texts are. Its pieces are read in order, each from the state that the last one left."""
+    if not text.strip():
+        return True
+    text = prepare(language, text)
+    if language == "python":
+        whole = Python("", True)
+        for p in pieces(text, size):
+            whole = whole.then(Python.of(p))
+        return whole.valid()
+    state, s, join = CODE, "", reducer(language).reduce
+    for p in pieces(text, size):
+        state, t = Summary(language, p).at(state, len(p) == len(text))
+        s = join(s + t)
+        if s == BAD:
+            return False
+    return state.mode == "code" and reducer(language).whole(s)

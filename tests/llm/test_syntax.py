@@ -1,9 +1,15 @@
 import ast
+import random
+import sys
 from functools import reduce
+from pathlib import Path
 
 import pytest
 
-from lodegraph.llm import parsing, syntax
+sys.path.insert(0, str(Path(__file__).parent))
+import constructs  # noqa: E402
+
+from lodegraph.llm import parsing, syntax  # noqa: E402
 
 GOOD = {
     "rust": [
@@ -60,17 +66,78 @@ def test_other_languages_in_a_file():
                 assert not syntax.parses(own, GOOD[other][0]), (own, other)
 
 
-def test_the_reducer_is_associative():
-    for language in ("rust", "go", "javascript", "typescript"):
-        for text in [*GOOD[language], *(t[: len(t) // 2] for t in GOOD[language])]:
-            text = syntax._hashbang(language, text)
-            parts = [syntax.piece_map(language, p) for p in syntax.pieces(text, 12)]
-            left = reduce(syntax.compose, parts)
-            right = parts[-1]
-            for p in parts[-2::-1]:
-                right = syntax.compose(p, right)
-            assert left == right
-            assert syntax.verdict(language, left) == syntax.parses(language, text), (language, text)
+@pytest.mark.parametrize("language", constructs.GOOD)
+def test_constructs(language):
+    assert [t for t in constructs.GOOD[language] if not syntax.parses(language, t)] == []
+    assert [t for t in constructs.BROKEN[language] if syntax.parses(language, t)] == []
+
+
+PYTHON = [
+    "import a\n@b\n@c(1)\ndef f(x,\n\ny=\"\"\"a\n# b\n\"\"\"):\n    return {\n'x': 1}\nelse_ = 2\nif x:\n    pass\n# c\nelif y:\n    pass\nelse:\n    z\nclass A: pass\ntry:\n  a\nfinally:\n  b\nx = 1 + \\\ny\n",
+    "def f():\n  if a:\n    x\n  y = (1,\nb\n",
+    "x = '''a\ndef (\n'''\nwith a as b:\n\tc\nmatch x:\n  case 1: pass\n",
+    "a = 1\n  b = 2\n",
+    "@a\nx = 1\n",
+    "x = 1\nelse:\n  y\n",
+]
+
+
+def _texts():
+    for language in constructs.GOOD:
+        for t in [*GOOD[language], "\n".join(constructs.GOOD[language]), *constructs.GOOD[language][:12], *constructs.BROKEN[language][:8]]:
+            yield language, t
+            yield language, t[: len(t) // 2]
+    for t in PYTHON:
+        yield "python", t
+
+
+def _cut_at(language, text, offsets):
+    cuts = [0, *offsets, len(text)]
+    maps = [syntax.piece_map(language, text[a:b]) for a, b in zip(cuts, cuts[1:])]
+    if language == "python":
+        maps[0] = maps[0].first()
+    return maps
+
+
+def test_pieces_give_what_the_whole_gives():
+    """Every line end as a cut, all cuts at once, and composition in random order."""
+    rnd = random.Random(7)
+    for language, text in _texts():
+        text = syntax.prepare(language, text)
+        if not text.strip():
+            continue
+        want = ast_valid(text) if language == "python" else syntax.parses(language, text, 1 << 30)
+        ends = [i + 1 for i, c in enumerate(text[:-1]) if c == "\n" and text[i - 1 : i] != "\\"]
+        for e in ends:
+            assert syntax.verdict(reduce(syntax.compose, _cut_at(language, text, [e]))) == want, (language, text, e)
+        assert syntax.parses(language, text, 1) == want
+        maps = _cut_at(language, text, ends)
+        while len(maps) > 1:
+            i = rnd.randrange(len(maps) - 1)
+            maps[i : i + 2] = [syntax.compose(maps[i], maps[i + 1])]
+        assert syntax.verdict(parsing.unpack(language, parsing.pack(maps[0]))) == want, (language, text)
+
+
+def test_composition_is_associative():
+    for language, text in _texts():
+        text = syntax.prepare(language, text)
+        a, b, c = (syntax.piece_map(language, p) for p in (list(syntax.pieces(text, 30)) + ["", "", ""])[:3])
+        assert syntax.compose(syntax.compose(a, b), c) == syntax.compose(a, syntax.compose(b, c))
+
+
+def test_what_may_nest_deeply():
+    assert syntax.parses("rust", "/*" * 500 + "*/" * 500 + "fn f() {}") and not syntax.parses("rust", "/*" * 500 + "*/" * 499)
+    assert syntax.parses("javascript", "x = " + "`${" * 300 + "1" + "}`" * 300) and syntax.parses("go", "package a\nvar x = " + "(" * 900 + "1" + ")" * 900)
+    assert syntax.parses("javascript", "x = " + "a ? b : " * 3000 + "c") and syntax.parses("rust", "fn f() { let x = " + "!" * 5000 + "y; }")
+    assert syntax.parses("typescript", "let x: " + "A<" * 60 + "B" + ">" * 60) and syntax.parses("rust", "type X = " + "A<" * 60 + "B" + ">" * 60 + ";")
+
+
+def ast_valid(text):
+    try:
+        ast.parse(text)
+        return True
+    except SyntaxError:
+        return False
 
 
 def test_python_is_the_interpreters_own():
@@ -88,8 +155,8 @@ def test_tables_with_odd_rows(spark):
     data = [(1, "a.rs", GOOD["rust"][0]), (2, "a.rs", "fn f( {"), (3, "a.rs", None), (4, "a.rs", " \n"), (5, None, "fn f( {"), (6, "a.txt", "fn f( {"), (7, "A.PY", "def f("), (8, "b.rs", long), (9, "b.rs", long + "fn g( {"), (10, "c.ts", "")]
     df = spark.createDataFrame(data, "doc_id bigint, path string, text string").selectExpr("*", "'x' as broken", "'y' as k", "'z' as lang_")
     want = {1: False, 2: True, 7: True, 8: False, 9: True}
-    for piece in (1 << 20, 200):
-        assert {r["doc_id"]: r["broken"] for r in parsing.check_syntax(df, piece).collect()} == want
+    for sizes in ((), (200, 90, 2), (1, 1, 3)):
+        assert {r["doc_id"]: r["broken"] for r in parsing.check_syntax(df, *sizes).collect()} == want
     assert parsing.check_syntax(df.limit(0)).count() == 0
     rated = df.drop("k").withColumn("repo_id", df["lang_"])
     assert {(r["language"], r["n_files"], r["n_broken"]) for r in parsing.rates(rated, parsing.check_syntax(rated)).collect()} == {("rust", 4, 2), ("python", 1, 1)}
