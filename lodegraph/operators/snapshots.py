@@ -1,4 +1,4 @@
-"""Comparing keyed snapshots: what changed between two, what is new since a base.
+"""Comparing keyed snapshots: what changed between two.
 
 Rows become compact: a 128-bit key hash, a 64-bit hash of their snapshot and a
 64-bit row hash. Repeats are collapsed before the shuffle; keys are spread over
@@ -72,7 +72,7 @@ def _find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def compare_bucket(t: pa.Table) -> pa.Table:
     """Differences within one bucket. before/after name the snapshots that a row's own one is held against, null for none."""
     snap, h1, h2, kind, number, order = (_column(t, x) for x in ("snap", "h1", "h2", "kind", "number", "ord"))
-    has_before, has_after, whole = (_column(t, x).astype(bool) for x in ("has_before", "has_after", "whole"))
+    has_before, has_after = (_column(t, x).astype(bool) for x in ("has_before", "has_after"))
     before, after = _column(t, "before"), _column(t, "after")
     ids = np.unique(np.concatenate([snap, before, after]))
     s = np.searchsorted(ids, snap)
@@ -97,7 +97,7 @@ def compare_bucket(t: pa.Table) -> pa.Table:
     there, at = _find(codes, codes - own + base)
     there &= has_before[keep]
     same = (kind[at] == kind) & (number[at] == number)
-    emit((has_before[keep] & ~there) | whole[keep], ADDED, snap[keep])
+    emit(has_before[keep] & ~there, ADDED, snap[keep])
     emit(there & ~same, CHANGED, snap[keep])
     following = np.searchsorted(ids, after[keep])
     there, _ = _find(codes, codes - own + following)
@@ -111,15 +111,15 @@ def differences(t: Keyed, plan: DataFrame) -> DataFrame:
 
     plan: one row for each snapshot that takes part: snap; before, the snapshot
     it is held against for added and changed rows, or null; after, the one in
-    which its rows may have been removed, or null; whole, whether all its rows
-    count as added. source is the snapshot that holds the row.
+    which its rows may have been removed, or null. source is the snapshot that
+    holds the row.
     """
     compact = _compact(t)
     buckets = buckets_for(t.rows)
     zero = F.lit(0).cast("bigint")
     placed = compact.join(plan, "snap").select(
         "snap", "h1", "h2", "kind", "number", "ord", F.coalesce("before", zero).alias("before"), F.col("before").isNotNull().alias("has_before"),
-        F.coalesce("after", zero).alias("after"), F.col("after").isNotNull().alias("has_after"), "whole", F.pmod("h1", F.lit(buckets)).cast("int").alias("bucket"),
+        F.coalesce("after", zero).alias("after"), F.col("after").isNotNull().alias("has_after"), F.pmod("h1", F.lit(buckets)).cast("int").alias("bucket"),
     )
     return placed.groupBy("bucket").applyInArrow(compare_bucket, _DIFF)
 
@@ -145,12 +145,4 @@ def consecutive(runs: DataFrame, group: str, order: list[str], snap: Column) ->
 
     w = Window.partitionBy(group).orderBy(*order)
     chained = runs.withColumn("snap", snap)
-    return chained.select("snap", F.lag("snap").over(w).alias("before"), F.lead("snap").over(w).alias("after"), F.lit(False).alias("whole"))
-
-
-def since_base(runs: DataFrame, snap: Column, base: Column) -> DataFrame:
-    """A plan that holds each wanted snapshot against its base; without one, all its rows are new."""
-    flat = runs.select(snap.alias("snap"), base.alias("before"), F.col("wanted"))
-    return flat.groupBy("snap").agg(F.max("before").alias("before"), F.max("wanted").alias("wanted")).select(
-        "snap", F.when(F.col("wanted"), F.col("before")).alias("before"), F.lit(None).cast("bigint").alias("after"), (F.col("wanted") & F.col("before").isNull()).alias("whole")
-    )
+    return chained.select("snap", F.lag("snap").over(w).alias("before"), F.lead("snap").over(w).alias("after"))

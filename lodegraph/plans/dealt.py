@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.operators import balance, orphans, snapshots
-from lodegraph.operators.feed import unprocessed
+from lodegraph.operators.feed import pending_runs
 from lodegraph.operators.hierarchy import Hierarchy
 from lodegraph.operators.snapshots import Keyed, snapshot_id
 from lodegraph.session import coalesce_text
@@ -54,10 +54,15 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    done = runs(spark, folder).where("status = 'succeeded'")
-    ledgers = done.where("index_token is not null").groupBy(coalesce_text(F.col("repo_id")).alias("g"), F.col("index_token").alias("state_token")).agg(F.max_by(_snap(), F.struct("seq", "rev")).alias("base"))
-    wanted = done.withColumn("g", coalesce_text(F.col("repo_id"))).join(ledgers, ["g", "state_token"], "left").withColumn("base", F.when(F.col("state_token") == F.col("store_token"), F.col("base")))
-    return unprocessed(file_rows(spark, folder), wanted.withColumn("wanted", F.lit(True)), _snap(), F.col("base"), {c: F.col(c) for c in ("repo_id", "rev", "path")})
+    done = runs(spark, folder).where("status = 'succeeded'").withColumn("snap", _snap())
+    states = done.where("index_token is not null").groupBy("repo_id", F.col("index_token").alias("state_token")).agg(F.max(F.struct("seq", "rev", "snap")).alias("b"))
+    based = done.join(states, ["repo_id", "state_token"], "left").withColumn("b", F.when(F.col("state_token") == F.col("store_token"), F.col("b")))
+    started = based.select("snap", F.col("b.snap").alias("base"), F.col("seq").alias("txn"), F.col("b.seq").alias("base_txn"))
+    t = file_rows(spark, folder)
+    kind, number = t.row_hash
+    rows = t.rows.select(_snap().alias("snap"), "path", F.struct(kind.alias("kind"), number.alias("number")).alias("version"), t.order.alias("at"))
+    found = pending_runs(rows, started, "snap", "path", "version", F.col("at"))
+    return found.join(done.select("snap", "repo_id", "rev"), "snap").select("repo_id", "rev", "path")
 
 
 def p4_per_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,17 +106,31 @@ def reference_sources(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [orphans.reference_events(df, tab, "repo_id", F.col("ref"), "recorded_at") for tab, df in (("edges", edges), ("depends_on", depends), ("ambiguous_calls", calls))]
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    parents = orphans.parent_events(table(spark, folder, "symbols"), "repo_id", "id", "extracted_at", "deleted_at")
+def _orphans(spark: SparkSession, folder: str, history: bool = False) -> DataFrame:
+    symbols, edges, depends = (table(spark, folder, t) for t in ("symbols", "edges", "depends_on"))
+    parents = orphans.parent_events(symbols, "repo_id", "id", "extracted_at", "deleted_at", steps=True)
     shared = orphans.parent_events(table(spark, folder, "shared_symbols"), None, "id", "extracted_at", "deleted_at")
-    found = orphans.find_orphans(reference_sources(spark, folder), parents, shared)
-    return found.select("tab", "period", F.col("scope").alias("repo_id"), F.col("key").alias("ref_id"), "state")
+    return orphans.replay(reference_sources(spark, folder), parents, shared, [symbols, edges, depends], history)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """What is pending after all months have arrived, one batch each."""
+    return _orphans(spark, folder).select("tab", "period", F.col("scope").alias("repo_id"), F.col("key").alias("ref_id"), "state")
 
 
 def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return p6_found(spark, folder).groupBy("tab", "period", "state").agg(F.count("*").alias("orphans"))
 
 
+def p6_monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """What was pending as known at the end of each month in which that changed: rows and symbols that came later do not count yet."""
+    changes = _orphans(spark, folder, history=True).where("n <> 0")
+    so_far = Window.partitionBy("tab", "period", "state").orderBy("step")
+    told = changes.select("tab", "period", "state", "step", F.sum("n").over(so_far).alias("orphans"))
+    as_of = F.format_string("%04d-%02d", F.floor((F.col("step") - 1) / 12), F.pmod(F.col("step") - 1, F.lit(12)) + 1)
+    return told.select(as_of.alias("as_of"), "tab", "period", "state", "orphans")
+
+
 #: A key is hot from this share of all rows (edges) or of the summed weight (depends_on).
 HOT_SHARE = 0.02
 
@@ -139,7 +158,7 @@ def p7_joined(spark: SparkSession, folder: str) -> DataFrame:
     return balance.balanced_join(edges, shared, "to_id", "from_id").groupBy("kind").agg(F.count("*").alias("n_rows"), F.count("to_id").alias("n_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_per_run, p5_found, p5_tree, p5_descendants, p5_all_descendants, p6_found, p6_counts, p7_found, p7_keys, p7_joined)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_per_run, p5_found, p5_tree, p5_descendants, p5_all_descendants, p6_found, p6_counts, p6_monthly, p7_found, p7_keys, p7_joined)}
 
 _PATHS = r"""regexp_replace(regexp_replace(replace(path, '\', '/'), '(^|/)(\.?/)+', '\1', 'g'), '(/\.?)+$', '')"""
 _FILES = f"""
@@ -189,6 +208,22 @@ par AS (
 found AS (SELECT DISTINCT r.tab, strftime(r.recorded_at AT TIME ZONE 'UTC', '%Y-%m') AS period, r.repo_id, r.ref_id,
   CASE WHEN coalesce(p.id, s.id) IS NULL THEN 'missing' WHEN coalesce(p.first_at, s.first_at) > r.recorded_at THEN 'late' WHEN coalesce(p.gone, s.gone) <= r.recorded_at THEN 'deleted' END AS state
   FROM r LEFT JOIN par p ON p.id = r.ref_id AND p.repo_id = r.repo_id LEFT JOIN par s ON s.id = r.ref_id AND s.repo_id IS NULL)"""
+_MONTHLY = """WITH refs AS (
+  SELECT 'edges' AS tab, repo_id, unnest([from_id, to_id]) AS ref_id, recorded_at FROM edges
+  UNION ALL SELECT 'depends_on', repo_id, unnest(list_transform(evidence, lambda e: e.to_id)), recorded_at FROM depends_on
+  UNION ALL SELECT 'ambiguous_calls', repo_id, unnest(candidates), recorded_at FROM ambiguous_calls),
+r AS (SELECT DISTINCT *, strftime(recorded_at AT TIME ZONE 'UTC', '%Y-%m') AS period FROM refs WHERE ref_id IS NOT NULL),
+sights AS (SELECT repo_id, id, extracted_at, deleted_at, strftime(extracted_at AT TIME ZONE 'UTC', '%Y-%m') AS m FROM symbols),
+months AS (SELECT period AS as_of FROM r UNION SELECT m FROM sights),
+par AS (SELECT as_of, repo_id, id, min(extracted_at) AS first_at, arg_max(coalesce(deleted_at, TIMESTAMPTZ '9999-01-01 00:00:00+00'), extracted_at) AS gone FROM months JOIN sights ON m <= as_of GROUP BY ALL),
+sh AS (SELECT id, min(extracted_at) AS first_at, arg_max(coalesce(deleted_at, TIMESTAMPTZ '9999-01-01 00:00:00+00'), extracted_at) AS gone FROM shared_symbols GROUP BY id),
+found AS (SELECT DISTINCT a.as_of, r.tab, r.period, r.repo_id, r.ref_id,
+  CASE WHEN coalesce(p.id, s.id) IS NULL THEN 'missing' WHEN coalesce(p.first_at, s.first_at) > r.recorded_at THEN 'late' WHEN coalesce(p.gone, s.gone) <= r.recorded_at THEN 'deleted' END AS state
+  FROM months a JOIN r ON r.period <= a.as_of LEFT JOIN par p ON p.as_of = a.as_of AND p.repo_id = r.repo_id AND p.id = r.ref_id LEFT JOIN sh s ON s.id = r.ref_id),
+kinds AS (SELECT DISTINCT tab, period, state FROM found WHERE state IS NOT NULL),
+counts AS (SELECT a.as_of, k.tab, k.period, k.state, count(f.ref_id) AS orphans FROM months a CROSS JOIN kinds k LEFT JOIN found f ON f.as_of = a.as_of AND f.tab = k.tab AND f.period = k.period AND f.state = k.state GROUP BY ALL),
+steps AS (SELECT *, lag(orphans, 1, 0) OVER (PARTITION BY tab, period, state ORDER BY as_of) AS before FROM counts)
+SELECT as_of, tab, period, state, orphans FROM steps WHERE orphans <> before"""
 
 ORACLES = {
     "p2_found": _P2,
@@ -204,6 +239,7 @@ ORACLES = {
         SELECT repo_id, a AS id, id AS descendant FROM up""",
     "p6_found": f"WITH {_REFS} SELECT tab, period, repo_id, ref_id, state FROM found WHERE state IS NOT NULL",
     "p6_counts": f"WITH {_REFS} SELECT tab, period, state, count(*) AS orphans FROM found WHERE state IS NOT NULL GROUP BY ALL",
+    "p6_monthly": _MONTHLY,
     "p7_found": """SELECT 'edges' AS tab, to_id FROM edges WHERE to_id IS NOT NULL GROUP BY to_id HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)
         UNION ALL SELECT 'depends_on', to_id FROM depends_on WHERE to_id IS NOT NULL GROUP BY to_id HAVING sum(weight) >= 0.02 * (SELECT sum(weight) FROM depends_on)""",
     "p7_keys": """SELECT coalesce(e.to_id, d.to_id) AS to_id, n_rows, n_callers, weight

@@ -1,12 +1,10 @@
-"""Windowed counts over event streams, and snapshots indexed as they arrive."""
+"""Windowed and session counts over event streams; ``operators.feed.follow`` processes changes as they arrive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.operators.feed import Feed
-
 
 def windowed(events: DataFrame, late: str = "1 day", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(start, event_type, n, total) per window, on streams and tables alike; a stream drops rows later than ``late``."""
@@ -19,19 +17,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
     """(user_id, start, end, n): events of a user no further apart than ``gap``."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def index_changes(spark: SparkSession, arriving: DataFrame, feed: Feed, process, checkpoint: str):
-    """Hands each micro-batch's new or changed records to ``process`` once, through the feed's ledger; gives the running query.
-
-    A batch that is delivered again after a failure finds its records in the ledger.
-    """
-
-    def batch(df: DataFrame, _: int) -> None:
-        todo, token = feed.pending(df, [])
-        todo = todo.persist()
-        process(todo)
-        feed.commit(todo, token)
-        todo.unpersist()
-
-    return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,8 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.operators import snapshots
-from lodegraph.operators.feed import Feed, unprocessed
 from lodegraph.operators.snapshots import Keyed, snapshot_id
 from lodegraph.tables import hash_number, plain_path
 
@@ -72,14 +70,6 @@ def test_one_key_holding_a_third_of_all_rows(spark):
     assert changes(spark, keyed(spark, data), r) == {("a", "hot", "2", "changed")}
 
 
-def test_unprocessed_without_a_base_is_everything(spark, rows):
-    data = [("a", "1", "k", "v", 1), ("a", "2", "k", "v", 1), ("a", "2", "n", "v", 1), ("a", "3", "k", "w", 1)]
-    r = spark.createDataFrame([("a", "1", None), ("a", "2", "1"), ("a", "3", "2")], "g string, rev string, base string").withColumn("wanted", F.lit(True))
-    base = F.when(F.col("base").isNotNull(), snapshot_id(F.col("g"), F.col("base")))
-    got = rows(unprocessed(keyed(spark, data), r, SNAP(), base, {"rev": F.col("rev"), "k": F.col("k")}))
-    assert got == [("1", "k"), ("2", "n"), ("3", "k")]
-
-
 def test_path_and_hash_spellings(spark):
     df = spark.createDataFrame([("./a//b/./c.rs", "0x00FF "), ("a\\b\\c.rs", "ff"), ("/a/b/c.rs/", "\tFF\n"), (".", ""), (None, None), ("a.b/..c", "ffffffffffffffff"), ("é/x", "nothex")], "p string, h string")
     kind, number = hash_number(F.col("h"))
@@ -88,22 +78,3 @@ def test_path_and_hash_spellings(spark):
     assert [(r[1], r[2]) for r in got][:3] == [(1, 255)] * 3
     assert [r[1] for r in got][3:] == [2, 0, 1, 2]
     assert got[5][2] == -1
-
-
-def test_feed_neither_skips_nor_repeats(spark, tmp_path):
-    feed = Feed(spark, str(tmp_path / "feed"), ["k"], "v", "txn")
-    make = lambda data: spark.createDataFrame(data, "k string, v string, txn bigint, note string")
-    first = make([("a", "1", 1, "x"), ("b", "1", 2, "x"), ("c", "1", 3, "x")])
-    todo, token = feed.pending(first, open_txns=[2])
-    assert sorted(r["k"] for r in todo.collect()) == ["a", "c"]
-    todo, token = feed.pending(first, open_txns=[2])  # the run died before it committed
-    assert sorted(r["k"] for r in todo.collect()) == ["a", "c"]
-    feed.commit(todo, token)
-    second = first.unionByName(make([("a", "2", 4, "x"), ("d", None, 5, "x")]))
-    todo, token = feed.pending(second, open_txns=[])
-    assert sorted((r["k"], r["v"]) for r in todo.collect()) == [("a", "2"), ("b", "1"), ("d", None)]
-    feed.commit(todo, token)
-    todo, _ = feed.pending(second, open_txns=[])
-    assert todo.isEmpty()
-    with pytest.raises(Exception):
-        feed.commit(todo, token)
