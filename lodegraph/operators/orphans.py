@@ -25,6 +25,8 @@ from lodegraph.session import buckets_for, coalesce_text
 
 STATES = ("missing", "late", "deleted")
 _NONE, _MOST = -(1 << 63), (1 << 63) - 1
+#: Bytes of source tables behind a bucket of keys that is advanced at once.
+BUCKET_BYTES = 4 << 20
 #: A reference (tab and period set) or a sight of a parent (tab null), collapsed; s_ columns hold what is known of a shared parent.
 _EVENT = "step int, tab string, period string, scope string, key string, first bigint, last bigint, deleted bigint, s_first bigint, s_last bigint, s_deleted bigint, s_known boolean"
 _COLUMNS = [c.split()[0] for c in _EVENT.split(", ")]
@@ -180,7 +182,7 @@ def replay(references: list[DataFrame], parents: DataFrame, shared: DataFrame |
     refs = references[0]
     for r in references[1:]:
         refs = refs.unionByName(r)
-    buckets = max(buckets_for(s) for s in sources)
+    buckets = sum(buckets_for(s, BUCKET_BYTES, 1) for s in sources)
     events = _tagged(refs, parents, shared).withColumn("bucket", _bucket(buckets))
     if history:
         return events.groupBy("bucket").applyInArrow(bucket_history, _STEPS).groupBy("step", "tab", "period", "state").agg(F.sum("n").alias("n"))
