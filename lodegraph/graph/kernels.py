@@ -46,25 +46,24 @@ class Tree:
 
 
 def bfs(adj: list[list[int]], starts: Iterable[int], max_depth: int | None = None, max_nodes: int | None = None) -> Tree:
+    """Level by level: the nodes of a level in order of their parents, each under the first parent that leads to it."""
     t = Tree()
-    queue: deque[int] = deque()
-    for s in starts:
-        if s not in t.depth:
-            t.depth[s] = 0
-            queue.append(s)
-    while queue:
-        a = queue.popleft()
-        if max_depth is not None and t.depth[a] >= max_depth:
-            continue
-        for b in adj[a]:
-            if b in t.depth:
-                continue
-            if max_nodes is not None and len(t.order) >= max_nodes:
-                t.truncated = True
-                return t
-            t.depth[b], t.parent[b] = t.depth[a] + 1, a
-            t.order.append(b)
-            queue.append(b)
+    level = list(dict.fromkeys(starts))
+    t.depth = dict.fromkeys(level, 0)
+    depth = 0
+    while level and not t.truncated and (max_depth is None or depth < max_depth):
+        depth += 1
+        new: dict[int, int] = {}
+        for a in level:
+            for b in adj[a]:
+                if b not in t.depth:
+                    new.setdefault(b, a)
+        level = list(new)
+        if max_nodes is not None and len(t.order) + len(level) > max_nodes:
+            t.truncated, level = True, level[: max_nodes - len(t.order)]
+        t.order += level
+        for b in level:
+            t.depth[b], t.parent[b] = depth, new[b]
     return t
 
 

@@ -2,38 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.compare import symbols as compare
-from lodegraph.explain import facts
 from lodegraph.functions import text
 from lodegraph.operators import ranges
 from lodegraph.quality import measures
 from lodegraph.schemas import OutdatedIndex
 from lodegraph.versioned.store import GraphStore
 
-NAMES = {i: facts.Named(i, k, q, f, 3) for i, k, q, f in (("fn:a::f", "function", "a::f", "a.rs"), ("method:a::T::g", "method", "a::T::g", "t.rs"), ("fn:a::h", "function", "a::h", "a.rs"))}
-CHAIN = [facts.Step("fn:a::f", "method:a::T::g", "calls", "a.rs", (3, 4)), facts.Step("method:a::T::g", "fn:a::h", "calls", "t.rs", (9,))]
-
-
-def test_explanations_cite_their_facts():
-    e = facts.why("fn:a::h", "fn:a::f", NAMES, CHAIN, None, None, 8)
-    said = facts.render(e)
-    assert e.status == "sufficient" and e.chains == [["E1", "E2"]] and "`f` calls `T::g` (a.rs:3,4) [E1]." in said
-    assert facts.verify(said, e).accepted
-    assert facts.verify("`f` calls `T::g` [E9].", e).problems and facts.verify("", e).problems and facts.verify("`f` calls `a::zz` [E1].", e).problems
-    assert not facts.verify("Everything is fine.", e).accepted
-    assert facts.verify("See `a::zz` too. `f` calls `h` [E1].", e).warnings
-    none = facts.why("fn:a::h", "fn:a::f", NAMES, None, None, CHAIN, 8)
-    assert none.status == "insufficient" and "runs the other way" in none.reason
-    assert facts.explain(e, lambda _: "`f` calls `nope` [E1].")[1] == "template" and facts.explain(e, lambda _: "`f` reaches `h` [E1][E2].")[1] == "model"
-    assert facts.explain(none, lambda _: "[E1]")[1] == "template"
-
-
-def test_summaries():
-    found = [facts.Affected("fn:a::f", 1, False, tuple(CHAIN[:1])), facts.Affected("method:a::T::g", 2, True, tuple(CHAIN))]
-    e = facts.summary("fn:a::h", NAMES, found, 2, 2, 1, 41.2, "medium", 8)
-    assert e.facts[0].text.startswith("2 symbols can be affected: 1 calls `h` directly and 1 reaches it") and "1 test reaches `h`" in e.facts[1].text and "2 more symbols" in e.reason
-    assert facts.summary("fn:a::h", NAMES, [], 0, 0, 0, 0.0, "low", 8).status == "insufficient"
-
-
 SYM = "repo_id string, id string, kind string, name string, fingerprint string, signature string"
 
 
