@@ -2,9 +2,10 @@
 
 Loads are counted exactly with map-side combining. Light keys share hash bins,
 which are packed onto tasks by load, largest first; a key above the target is
-split into as many proportionate shards as its load asks for. Rows of a split
-key are placed by a hash of their member column, so distinct counts add up over
-shards; the matching side is replicated to these shards only. What reaches the
+split into as many proportionate shards as its load asks for. Where members are
+counted, rows of a split key are placed by a hash of their member, so distinct
+counts add up over shards; in a join they take the shards in turn. The matching
+side is replicated to these shards only. What reaches the
 driver is bounded by the number of bins and of split keys (at most
 ``tasks * SHARDS_PER_TASK``).
 """
@@ -55,24 +56,27 @@ def pack(bin_loads: dict[int, int], split: dict[int, int], tasks: int, bins: int
 
 
 def make_plan(loads: DataFrame, tasks: int) -> Plan:
-    """loads: (h, load), one row per key hash."""
+    """loads: (h, load), one row per key hash; counted once and held while the plan is made."""
     bins = tasks * BINS_PER_TASK
+    loads = loads.persist()
     total = loads.agg(F.sum("load")).first()[0] or 0
     target = total / tasks / SHARDS_PER_TASK
     hot = {r["h"]: r["load"] for r in loads.where(F.col("load") > target).collect()} if total else {}
     light = loads.where(F.col("load") <= target).groupBy(F.pmod("h", F.lit(bins)).cast("int").alias("bin")).agg(F.sum("load").alias("load"))
-    return pack({r["bin"]: r["load"] for r in light.collect()}, hot, tasks, bins, target)
+    plan = pack({r["bin"]: r["load"] for r in light.collect()}, hot, tasks, bins, target)
+    loads.unpersist()
+    return plan
 
 
-def task_of(plan: Plan, h: Column, member: Column) -> Column:
-    """The task of a row: its bin's, or that of its shard by the hash of ``member``."""
+def task_of(plan: Plan, h: Column, spread: Column) -> Column:
+    """The task of a row: its bin's, or that of its shard by ``spread``, a number."""
     tasks = F.lit(np.asarray(plan.bin_task, np.int32))
     light = F.element_at(tasks, (F.pmod(h, F.lit(plan.bins)) + 1).cast("int"))
     if not plan.shards:
         return light
     shards = F.create_map(*[x for k, ts in plan.shards.items() for x in (F.lit(k).cast("bigint"), F.array(*map(F.lit, ts)))])
     own = F.try_element_at(shards, h)
-    return F.when(own.isNull(), light).otherwise(F.try_element_at(own, (F.pmod(F.xxhash64(member), F.size(own)) + 1).cast("int")))
+    return F.when(own.isNull(), light).otherwise(F.try_element_at(own, (F.pmod(spread, F.size(own)) + 1).cast("int")))
 
 
 def tasks_of_match(plan: Plan, h: Column) -> Column:
@@ -150,24 +154,27 @@ def per_key(rows: DataFrame, key: str, member: str, weight: str | None = None, t
     flat = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(member).cast("string").alias("member"), F.lit(1).cast("bigint").alias("n"), w.alias("weight"))
     plan = make_plan(flat.groupBy(key_hash(F.col("key")).alias("h")).agg(F.count("*").alias("load")), tasks)
     pairs = flat.mapInArrow(combine_pairs, _PAIRS)
-    placed = pairs.withColumn("task", task_of(plan, key_hash(F.col("key")), coalesce_text(F.col("member"))))
+    placed = pairs.withColumn("task", task_of(plan, key_hash(F.col("key")), F.xxhash64(coalesce_text(F.col("member")))))
     parts = placed.repartitionById(tasks, "task").mapInArrow(count_task, _KEYS)
     return parts.groupBy("key").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_members").alias("n_members"), F.sum("weight").alias("weight"))
 
 
-def balanced_join(rows: DataFrame, match: DataFrame, on: str, member: str, tasks: int | None = None) -> DataFrame:
+def balanced_join(rows: DataFrame, match: DataFrame, on: str, tasks: int | None = None) -> DataFrame:
     """Left join of rows with the rows of ``match`` for the same key, in balanced work.
 
-    Rows of a split key are spread over its shards by ``member``; rows of
-    ``match`` are copied to these shards only. Null keys match nothing. Columns
-    of ``match`` whose names clash get the prefix ``match_``.
+    Rows of a split key take its shards in turn, so that a key of equal rows is
+    spread too; they must come in an order of their own, as from files or a
+    written table. Rows of ``match`` are copied to these shards only. Both sides
+    go to the tasks of the plan and are joined there. Null keys match nothing
+    and are spread like a key. Columns of ``match`` whose names clash get the
+    prefix ``match_``.
     """
     tasks = tasks or tasks_for(rows)
     h = key_hash(F.col(on).cast("string"))
     plan = make_plan(rows.groupBy(h.alias("h")).agg(F.count("*").alias("load")), tasks)
-    left = rows.withColumn("_task", task_of(plan, h, coalesce_text(F.col(member).cast("string"))))
+    left = rows.withColumn("_turn", F.monotonically_increasing_id()).withColumn("_task", task_of(plan, h, F.col("_turn"))).drop("_turn").repartitionById(tasks, "_task")
     names = {c: f"match_{c}" if c in rows.columns else c for c in match.columns if c != on}
-    right = match.where(F.col(on).isNotNull()).select(F.col(on).alias("_on"), *[F.col(c).alias(n) for c, n in names.items()], F.explode(tasks_of_match(plan, h)).alias("_to"))
+    right = match.where(F.col(on).isNotNull()).select(F.col(on).alias("_on"), *[F.col(c).alias(n) for c, n in names.items()], F.explode(tasks_of_match(plan, h)).alias("_to")).repartitionById(tasks, "_to")
     return left.join(right, (F.col("_task") == F.col("_to")) & (F.col(on) == F.col("_on")), "left").drop("_task", "_to", "_on")
 
 

@@ -155,7 +155,7 @@ def p7_joined(spark: SparkSession, folder: str) -> DataFrame:
     """Callers of every shared symbol by its kind: edges joined with their targets by the balanced join."""
     edges = table(spark, folder, "edges").select("repo_id", "from_id", "to_id")
     shared = table(spark, folder, "shared_symbols").groupBy(F.col("id").alias("to_id")).agg(F.max_by("kind", "extracted_at").alias("kind"))
-    return balance.balanced_join(edges, shared, "to_id", "from_id").groupBy("kind").agg(F.count("*").alias("n_rows"), F.count("to_id").alias("n_targets"))
+    return balance.balanced_join(edges, shared, "to_id").groupBy("kind").agg(F.count("*").alias("n_rows"), F.count("to_id").alias("n_targets"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p4_found, p4_per_run, p5_found, p5_tree, p5_descendants, p5_all_descendants, p6_found, p6_counts, p6_monthly, p7_found, p7_keys, p7_joined)}
