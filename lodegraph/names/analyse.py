@@ -1,8 +1,9 @@
-"""Source texts of many repositories to fact tables: files are read side by side, then each repository's names are resolved in one group."""
+"""Source texts of many repositories to fact tables: files are read where they lie, then each repository's facts are resolved in one group."""
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,40 +11,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.names.resolve import Repository, Resolution
-from lodegraph.rustlex.items import read_file
+from lodegraph.rustlex.items import Facts, read_file
 from lodegraph.schemas import CANDIDATES_LISTED
-from lodegraph.sources.layout import by_path, dependency_names, modules, targets
+from lodegraph.sources.layout import by_path, child_file, dependency_names, modules, targets
 
 FACTS = "repo_id string, tab string, row string"
 
 
-def analyse(files: dict[str, str], repo: str, unreached: bool = False) -> Resolution:
-    """All of one repository: path -> text of its Rust files and Cargo.toml manifests.
+def lay_out(repo: str, manifests: dict[str, str], declared: dict[str, list], unreached: bool) -> dict[str, tuple[str, str, str]]:
+    """path -> (module path, crate, target kind) of the Rust files. declared: what each file's ``mod`` items say.
 
-    unreached: files that no target's ``mod`` items reach are read too, with the
-    crate and module that their path tells; else they are left out.
+    unreached: files that no target's ``mod`` items reach get the crate and
+    module that their path tells; else they are left out.
     """
-    manifests = {p: t for p, t in files.items() if p.rpartition("/")[2] == "Cargo.toml"}
-    rust = sorted(p for p in files if p.endswith(".rs"))
-    found = targets(repo, manifests, rust)
-    usual = by_path(repo, manifests, rust)
-    read = {p: read_file(files[p], p, path) for p, (_, path) in usual.items()}
-    declared = {p: f.modules for p, f in read.items()}
+    rust = sorted(declared)
+    usual, found, there = by_path(repo, manifests, rust), targets(repo, manifests, rust), set(rust)
     roots = {t.root for t in found}
-    reached = {c for p in rust for inline, name, where in declared[p] if (c := _child(p, p in roots, inline, name, where, set(rust)))}
+    reached = {c for p in rust for inline, name, where in declared[p] if (c := child_file(p, p in roots, inline, name, where, there))}
     at = modules([t for t in found if t.root not in reached or t.kind in ("lib", "bin")], declared, rust)
-    if unreached:
-        at = usual | at
-    facts = {p: (read[p] if path == usual[p][1] else read_file(files[p], p, path), t.name, t.kind) for p, (t, path) in at.items()}
+    return {p: (path, t.name, t.kind) for p, (t, path) in ((usual if unreached else {}) | at).items()}
+
+
+def link(facts: dict[str, tuple[Facts, str, str]], dependencies: frozenset[str]) -> Resolution:
+    """All names of one repository from the facts of its files: path -> (facts, crate, target kind)."""
     _make_unique(facts)
     _drop_unknown_parents(facts)
-    return Repository(facts, frozenset(n for t in manifests.values() for n in dependency_names(t))).resolve()
+    return Repository(facts, dependencies).resolve()
 
 
-def _child(*a):
-    from lodegraph.sources.layout import child_file
+def _is_manifest(path: str) -> bool:
+    return path.rpartition("/")[2] == "Cargo.toml"
 
-    return child_file(*a)
+
+def analyse(files: dict[str, str], repo: str, unreached: bool = False) -> Resolution:
+    """All of one repository in memory: path -> text of its Rust files and Cargo.toml manifests."""
+    manifests = {p: t for p, t in files.items() if _is_manifest(p)}
+    declared = {p: read_file(t, p, "").modules for p, t in files.items() if p.endswith(".rs")}
+    at = lay_out(repo, manifests, declared, unreached)
+    return link({p: (read_file(files[p], p, path), crate, kind) for p, (path, crate, kind) in at.items()}, frozenset(n for t in manifests.values() for n in dependency_names(t)))
 
 
 def _make_unique(facts: dict) -> None:
@@ -88,9 +93,32 @@ def _rows(repo: str, r: Resolution) -> Iterator[tuple[str, dict]]:
         yield "unresolved_calls", {"caller": caller, "callee": callee, "line": line, "reason": reason}
 
 
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    repo = pdf["repo_id"].iloc[0]
-    r = analyse({p: t for p, t in zip(pdf["path"], pdf["text"]) if isinstance(t, str) and isinstance(p, str)}, repo, unreached=True)
+def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the layout of a repository needs of each file: manifests whole, of Rust files the ``mod`` items."""
+    for b in batches:
+        said = [t if _is_manifest(p) else json.dumps(read_file(t, p, "").modules) for p, t in zip(b["path"], b["text"])]
+        yield pd.DataFrame({"repo_id": b["repo_id"], "path": b["path"], "said": said})
+
+
+def _layout(b: pd.DataFrame) -> pd.DataFrame:
+    repo, said = b["repo_id"].iloc[0], dict(zip(b["path"], b["said"]))
+    manifests = {p: t for p, t in said.items() if _is_manifest(p)}
+    at = lay_out(repo, manifests, {p: json.loads(t) for p, t in said.items() if not _is_manifest(p)}, True)
+    needs = sorted({n for t in manifests.values() for n in dependency_names(t)})
+    rows = [(repo, p, path, crate, kind, needs) for p, (path, crate, kind) in sorted(at.items())]
+    return pd.DataFrame(rows, columns=["repo_id", "path", "module", "crate", "target", "needs"])
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        facts = [pickle.dumps(read_file(t, p, m)) for t, p, m in zip(b["text"], b["path"], b["module"])]
+        yield b.drop(columns=["text", "module"]).assign(facts=facts)
+
+
+def _link(b: pd.DataFrame) -> pd.DataFrame:
+    repo = b["repo_id"].iloc[0]
+    facts = {p: (pickle.loads(f), crate, target) for p, f, crate, target in zip(b["path"], b["facts"], b["crate"], b["target"])}
+    r = link(facts, frozenset(b["needs"].iloc[0]))
     return pd.DataFrame([(repo, tab, json.dumps(row)) for tab, row in _rows(repo, r)], columns=["repo_id", "tab", "row"])
 
 
@@ -105,8 +133,15 @@ SCHEMAS = {
 def fact_tables(files: DataFrame) -> dict[str, DataFrame]:
     """files: repo_id, path, text of Rust files and manifests. The fact tables by name, each with repo_id.
 
-    One repository is one group, which name resolution needs; texts without a
-    repository or path are left out. Every other Rust text gives at least its module.
+    Texts are read where they lie, whatever repository they belong to: once for
+    their ``mod`` items, which lay the repository out, and once for their facts.
+    Only facts meet in the group of a repository, as name resolution needs.
+    Texts without a repository or path, and null ones, are left out; of several
+    for one path the largest counts. Every other Rust text gives at least its module.
     """
-    rows = files.select("repo_id", "path", "text").where("repo_id is not null and path is not null and text is not null").groupBy("repo_id").applyInPandas(_group, FACTS)
+    texts = files.select("repo_id", "path", "text").where("repo_id is not null and path is not null and text is not null and (path like '%.rs' or path = 'Cargo.toml' or path like '%/Cargo.toml')")
+    texts = texts.groupBy("repo_id", "path").agg(F.max("text").alias("text"))
+    layout = texts.mapInPandas(_outlines, "repo_id string, path string, said string").groupBy("repo_id").applyInPandas(_layout, "repo_id string, path string, module string, crate string, target string, needs array<string>")
+    facts = texts.join(layout, ["repo_id", "path"]).mapInPandas(_read, "repo_id string, path string, crate string, target string, needs array<string>, facts binary")
+    rows = facts.groupBy("repo_id").applyInPandas(_link, FACTS)
     return {name: rows.where(F.col("tab") == name).select("repo_id", F.from_json("row", schema).alias("r")).select("repo_id", "r.*") for name, schema in SCHEMAS.items()}
