@@ -62,25 +62,25 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, source, level, grade) of English prose that has words; labels are fitted on documents of the table that carry them."""
-    docs = table(spark, folder, "documents").where(F.col("source").isin(*PROSE) & (F.col("lang") == "en") & F.col("text").rlike(r"\S"))
+    """(doc_id, source, lang, level, grade) of prose of any language that has words; labels are fitted on documents of the table that carry them."""
+    docs = table(spark, folder, "documents").where(F.col("source").isin(*PROSE) & F.col("text").rlike(r"\S"))
     scratch = Scratch(spark, "reading")
-    counted = scratch.keep(docs.select("doc_id", "source", "text").transform(reading.text_counts))
-    graded = counted.select("doc_id", *[c.alias(n) for n, c in reading.grade_columns().items()])
+    counted = scratch.keep(reading.text_counts(docs, ["lang"]))
+    graded = counted.select("doc_id", "lang", *[c.alias(n) for n, c in reading.grade_columns().items()])
     labels = table(spark, folder, "reading_labels").where("reading_level is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
     sample = graded.join(labels, "doc_id").where("lix is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(reading.MAX_LABELLED)
     steps = reading.fit(sample.toPandas())
     said = graded.withColumn("score", reading.level_column(steps))
     median = F.array_sort(F.array(*[F.col(f) for f in reading.FORMULAS if f != "lix"]))
-    return said.select("doc_id", F.least(F.lit(5), F.greatest(F.lit(1), F.floor(F.col("score") + 0.5))).cast("int").alias("level"), F.round((median[2] + median[3]) / 2, 3).alias("grade"), F.col("lix").isNotNull().alias("has_words"))
+    return said.select("doc_id", "lang", F.least(F.lit(5), F.greatest(F.lit(1), F.floor(F.col("score") + 0.5))).cast("int").alias("level"), F.round((median[2] + median[3]) / 2, 3).alias("grade"), F.col("lix").isNotNull().alias("has_words"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _levels(spark, folder).where("has_words and level >= 4").select("doc_id")
+    return _levels(spark, folder).where("lang = 'en' and has_words and level >= 4").select("doc_id")
 
 
 def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """Level and median school grade of each prose document; null where it is not English or has no words."""
+    """Level and median school grade of each prose document; null where it has no words."""
     docs = table(spark, folder, "documents").where(F.col("source").isin(*PROSE)).select("doc_id", "source")
     levels = _levels(spark, folder).where("has_words").select("doc_id", "level", "grade")
     return docs.join(levels, "doc_id", "left").select("doc_id", "source", "level", "grade")

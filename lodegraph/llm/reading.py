@@ -28,35 +28,52 @@ _HEADING = re.compile(r"^[ \t]{0,3}(?:#{1,6}[ \t].*|[=\-*_]{3,}[ \t]*|(?: {4}|\t
 _ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+", re.M)
 _END = re.compile(r"[.!?…]+[\"')\]]*(?=\s|\Z)|\n[ \t]*\n|\n(?=\u0001)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_VOWELS = re.compile(r"[aeiouyàâäéèêëîïôöûüœæ]+")
-#: hyphenation-style rules: endings that add no syllable, and vowel pairs that are two
-_SILENT = re.compile(r"(?:[^laeiouy]|[aeiouy]l)es?$|[^dt]ed$|[^aeiouy]ely$")
-_LE = re.compile(r"[^aeiouy]les?$")
-_SPLIT = re.compile(r"crea(?![ms])|i[ao](?!u)|[^cstg]ious|eo|ua(?!r)|uou|[aeiouym]bl$|ying|[^q]ue[lnst]|ism$|[aiu]ing")
-_JOIN = re.compile(r"[ct]i(?:a|o|e)|s[is]ion|gi(?:o|a)n?|ieu")
-
-
-def syllables(word: str) -> int:
-    """Syllables of one word, at least 1."""
+_VOWELS = re.compile(r"[aeiouyàâäéèêëîïôöûüœæáíóúãõ]+")
+#: An e that is not heard: at the end, in -es and -ed, and before an ending or second word that begins with a consonant.
+_SILENT = (
+    re.compile(r"(?<![aeiouyl])e$|(?<=[aeiouylr]l)e$|(?<=[aeiou]g)ue$|(?<=q)ue$|(?<=[^aeiouy])e(?=ty$)"),
+    re.compile(r"(?<![aeiouyszxcg])(?<!ch)(?<!sh)(?<![^aeiouy]l)es$"),
+    re.compile(r"(?<![aeiouytd])(?<![^aeiouyl]l)ed$"),
+    re.compile(r"(?<=[^aeiouyl])e(?=(?:ful|less|ly|ment|ness|thing|time|where|one$|body|fore|ware|work|like|ship|hood|ward|wise|what|how|line|place|point|stamp|base|file|name|guard|keep|land|space))"),
+    re.compile(r"(?<=[aeiou]l)e(?=(?:ful|less|ly|ment|ness|name|system))"),
+    re.compile(r"(?<=ev)e(?=r[yi])|(?<=bus)i(?=ness)"),
+)
+#: Neighbouring vowels that are two syllables.
+_SPLIT = re.compile(
+    r"(?<![ctgs])ia(?!g[eo])|(?<=[dstc])ia(?=t)|(?<![ctsgxln])io(?!u)|(?<=[ln])io(?![nu])|(?<=[bdhlmnprv])iou|iu(?=m)|(?<!p)(?<![gp]g)eo(?!u)|(?<=\bid)ea|(?<=ar)ea$|(?<=cr)ea(?=t)|(?<=\br)ea(?=c?t|li)|(?<=th)ea(?=t)|(?<=lin)ea|(?<=nucl)ea"
+    r"|(?<=sc)ie(?=n)|(?<=cl)ie(?=n)|(?<=qu)ie(?=t)|(?<=d)ie(?=t)|(?<=[cxr])ie(?=t[yi])|(?<=h)ie(?=r)|(?<=[rdvln])ie(?=n[ct])|(?<=[^aeioutc])ie(?=r$|st$)|(?<=\bp)oe(?=[mt])|(?<=c)oe(?=x)|(?<=c)oo(?=p|rd)"
+    r"|(?<![qg])ua(?!r[dy]|de)|(?<=g)ua(?=r?a|l$)|(?<![qg])ue(?=n[ct]|l|t)|(?<=fl)ui|(?<=r)ui(?=n)|ui(?=ty|ti)|(?<![q])uo|ii|(?<=[aeou])ing|(?<=[^aeiou]y)ing|(?<=na)i(?=v)|(?<=[aeiou])y(?=[aeiou])(?!e[ds]?$)|(?<=[aeiou])sm$|thm(?=$|s)"
+)
+_FIRST_Y = re.compile(r"^y(?=[aeiou])")
+
+
+def syllables(word: str, english: bool = True) -> int:
+    """Syllables of one word, at least 1. Other languages than English sound every group of vowels."""
     w = word.lower()
+    if not english:
+        return max(1, len(_VOWELS.findall(w)))
+    w = _FIRST_Y.sub("j", w.partition("'")[0].partition("’")[0] if w.endswith(("'s", "’s")) else w)
     n = len(_VOWELS.findall(w))
-    if _SILENT.search(w) and not _LE.search(w):
-        n -= 1
-    n += len(_SPLIT.findall(w)) - len(_JOIN.findall(w))
-    return max(1, n)
+    for rule in _SILENT:
+        n -= len(rule.findall(w))
+    return max(1, n + len(_SPLIT.findall(w)))
 
 
 class _Syllables(dict):
     """Remembers words, up to a bound."""
 
+    def __init__(self, english: bool):
+        super().__init__()
+        self._english = english
+
     def __missing__(self, word: str) -> int:
-        n = syllables(word)
+        n = syllables(word, self._english)
         if len(self) < 500_000:
             self[word] = n
         return n
 
 
-_KNOWN = _Syllables()
+_KNOWN = {True: _Syllables(True), False: _Syllables(False)}
 
 
 def prose(text: str) -> str:
@@ -69,13 +86,13 @@ def prose(text: str) -> str:
     return _DROP.sub(lambda m: m.group(1) or " ", text)
 
 
-def counts(text: str) -> tuple[int, ...]:
+def counts(text: str, english: bool = True) -> tuple[int, ...]:
     """COUNTS of a text; all 0 where it has no words."""
     body = prose(text)
     words = _WORD.findall(body)
     if not words:
         return (0,) * len(COUNTS)
-    syl = np.fromiter(map(_KNOWN.__getitem__, words), np.int32, len(words))
+    syl = np.fromiter(map(_KNOWN[english].__getitem__, words), np.int32, len(words))
     size = np.fromiter(map(len, words), np.int32, len(words))
     sentences = sum(1 for s in _END.split(body) if _WORD.search(s))
     return (max(1, sentences), len(words), int(size.sum()), int(syl.sum()), int((syl >= 3).sum()), int((syl == 1).sum()), int((size > 6).sum()))
@@ -98,15 +115,15 @@ def grade_columns() -> dict[str, Column]:
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [counts(t) if isinstance(t, str) else (0,) * len(COUNTS) for t in b["text"]]
+        rows = [counts(t, not isinstance(lang, str) or lang == "en") if isinstance(t, str) else (0,) * len(COUNTS) for t, lang in zip(b["text"], b["lang"])]
         out = pd.DataFrame(rows, columns=list(COUNTS), dtype="int64")
-        out.insert(0, "doc_id", b["doc_id"].to_numpy())
-        yield out
+        yield pd.concat([b.drop(columns="text").reset_index(drop=True), out], axis=1)
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of each document; null and blank texts count 0."""
-    return docs.select("doc_id", "text").mapInPandas(_count_batches, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS))
+def text_counts(docs: DataFrame, keep: list[str] = []) -> DataFrame:
+    """doc_id, ``keep`` (lang or nothing) and COUNTS of each document; null and blank texts count 0, a text of unknown language is taken for English."""
+    out = docs.select("doc_id", "lang", "text").mapInPandas(_count_batches, "doc_id bigint, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return out.select("doc_id", *keep, *COUNTS)
 
 
 def rising_steps(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
@@ -131,7 +148,7 @@ DEFAULT_LIX = ([30.0, 42.0, 54.0, 66.0, 999.0], [1.0, 2.0, 3.0, 4.0, 5.0])
 
 
 def fit(labelled: pd.DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Steps of each formula from its grades and the column ``level``."""
+    """Steps of each formula from its grades and the column ``level``; with fewer than five labels, which no steps can be fitted to, the default ones."""
     if len(labelled) < 5:
         return {f: DEFAULT_LIX if f == "lix" else DEFAULT_STEPS for f in FORMULAS}
     return {f: rising_steps(labelled[f].to_numpy(float), labelled["level"].to_numpy(float)) for f in FORMULAS}

@@ -23,27 +23,42 @@ from pyspark.sql import functions as F
 #: fixed value: larger files are not analysed (2 MiB)
 TOO_LARGE = 2 * 1024 * 1024
 LAYOUT = ("mean_line", "max_line", "white_share", "alnum_share", "number_density", "encoded_share", "repeat_share", "n_lines")
-REASONS = ("too_large", "vendored_path", "generated_name", "generated_header", "vendored_header", "minified", "encoded_data", "numeric_data", "repetitive")
+REASONS = ("too_large", "vendored_path", "generated_name", "generated_header", "vendored_header", "minified", "encoded_data", "numeric_data", "sign_data", "repetitive")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """From where a body counts as not written by hand. number_density: numeric literals in 100 characters of code; repeat_share: lines of the commonest shape."""
+    """From where a body counts as not written by hand.
+
+    A body is minified by a long line, or long lines on average, with little
+    white space; it is encoded by long runs, or by alphanumerics nearly alone;
+    number_density counts numeric literals in 100 characters of code, and code
+    that holds hardly any letters or digits is a table of signs. repeat_share is
+    that of the commonest line shape, in files of many lines, in smaller ones
+    repeat_most.
+    """
 
     minified_line: int = 200
     minified_white: float = 0.10
+    mean_line: int = 120
+    mean_white: float = 0.09
+    encoded_alnum: float = 0.88
+    encoded_white: float = 0.09
+    signs_alnum: float = 0.25
     number_density: float = 4.8
     encoded_share: float = 0.30
     repeat_share: float = 0.42
-    repeat_lines: int = 8
+    repeat_lines: int = 20
+    repeat_most: float = 0.80
+    repeat_least: int = 8
 
 
 LIMITS = {
     "rust": Limits(),
     "go": Limits(repeat_share=0.45),
-    "python": Limits(minified_white=0.08),
-    "typescript": Limits(),
-    "javascript": Limits(minified_line=180, minified_white=0.12),
+    "python": Limits(minified_white=0.08, mean_white=0.08, encoded_alnum=0.90),
+    "typescript": Limits(mean_line=130),
+    "javascript": Limits(minified_line=180, minified_white=0.12, mean_line=110),
 }
 
 # fixed values: directories for other projects' code, and the names that tools give to files
@@ -62,6 +77,8 @@ _SOURCE_MAP = re.compile(r"^//[#@] sourceMappingURL=", re.M)
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=]{40,}|(?:\\x[0-9a-fA-F]{2}){12,}")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
+#: Lines that people write in long runs: imports, re-exports, module and field declarations, but for numbered fields.
+_DECLARED = re.compile(r"(?:pub(?:\([^)]*\))?\s+)?(?:use|mod|import|from|package|extern crate|export\s+(?:\*|type\s*\{|\{))\b.*|(?:pub(?:\([^)]*\))?\s+|readonly\s+)*[A-Za-z_]+\??:\s*[A-Za-z_][\w<>\[\]|&:., ]*[;,]")
 _WORDS, _DIGITS = re.compile(r"[A-Za-z_]\w*"), re.compile(r"9[9.]*")
 _AS_DIGIT = {ord(str(d)): "9" for d in range(10)}
 
@@ -101,9 +118,10 @@ def layout(text: str) -> tuple[float, ...]:
     joined = "\n".join(code)
     numbers = len(_NUMBER.findall(joined))
     encoded = sum(map(len, _ENCODED.findall(joined))) if longest >= 40 else 0
-    shaped = _WORDS.sub("w", _DIGITS.sub("9", _QUOTED.sub("s", joined).translate(_AS_DIGIT)))
-    shapes = Counter(x for x in map(str.strip, shaped.split("\n")) if len(x) > 2)
-    total = sum(shapes.values()) or 1
+    told = "\n".join(x for x in map(str.strip, code) if not _DECLARED.fullmatch(x))
+    shaped = _WORDS.sub("w", _DIGITS.sub("9", _QUOTED.sub("s", told).translate(_AS_DIGIT)))
+    shapes = Counter(x for x in shaped.split("\n") if len(x) > 2)
+    total = sum(len(x.strip()) > 2 for x in code) or 1
     repeat = max(shapes.values(), default=0) / total
     return (n / len(lines), float(longest), white / n, alnum / n, 100.0 * numbers / max(1, len(joined)), encoded / max(1, len(joined)), repeat, float(total))
 
@@ -132,17 +150,15 @@ def reasons(path: str | None, text: str | None, size: float | None, language: st
 def body_reasons(stats: tuple[float, ...], language: str | None) -> list[str]:
     """What the layout alone tells."""
     limits = LIMITS.get(language or "", Limits())
-    _, longest, white, _, numbers, encoded, repeat, n = stats
-    out = []
-    if longest >= limits.minified_line and white < limits.minified_white and encoded < limits.encoded_share:
-        out.append("minified")
-    if encoded >= limits.encoded_share:
-        out.append("encoded_data")
-    if numbers >= limits.number_density:
-        out.append("numeric_data")
-    if n >= limits.repeat_lines and repeat >= limits.repeat_share:
-        out.append("repetitive")
-    return out
+    mean, longest, white, alnum, numbers, encoded, repeat, n = stats
+    told = {
+        "minified": encoded < limits.encoded_share and (longest >= limits.minified_line and white < limits.minified_white or mean >= limits.mean_line and white < limits.mean_white),
+        "encoded_data": encoded >= limits.encoded_share or alnum >= limits.encoded_alnum and white < limits.encoded_white,
+        "numeric_data": numbers >= limits.number_density,
+        "sign_data": alnum < limits.signs_alnum and n >= limits.repeat_least,
+        "repetitive": n >= limits.repeat_lines and repeat >= limits.repeat_share or n >= limits.repeat_least and repeat >= limits.repeat_most,
+    }
+    return [reason for reason, holds in told.items() if holds]
 
 
 #: fixed values: languages by extension, for rows without a language
