@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Where the public tokenizers' files lie, on every executor.
 FOLDER = "/opt/tokenizers"
+#: Chunks that one task reads one after the other; longer texts than CHUNK are read by several tasks in chunks of that size.
+PIECE, PIECE_OVERLAP = 1 << 12, 1 << 7
 CHUNK, OVERLAP = 1 << 18, 1 << 10
 # fixed value: the pre-token pattern of the byte-level vocabularies
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,8 +39,22 @@ def encoder(name: str, folder: str):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str, name: str, folder: str) -> np.ndarray:
-    return np.asarray(encoder(name, folder).encode_to_numpy(text, disallowed_special=()), dtype=np.int32) if text else np.zeros(0, np.int32)
+def encode(text: str, name: str, folder: str, piece: int = PIECE, overlap: int = PIECE_OVERLAP) -> np.ndarray:
+    """The ids of a text, read in overlapping chunks that are stitched where their pre-tokens meet."""
+    if not text:
+        return np.zeros(0, np.int32)
+    coded = [np.asarray(encoder(name, folder).encode_to_numpy(text[a:b], disallowed_special=()), dtype=np.int32) for a, b in (stitch(text, piece, overlap) if len(text) > piece else [(0, len(text))])]
+    return coded[0] if len(coded) == 1 else np.concatenate(coded)
+
+
+def stitch(text: str, piece: int, overlap: int) -> list[tuple[int, int]]:
+    """Stretches of a text that can be encoded apart."""
+    tails, heads = [], []
+    for at in range(piece, len(text), piece):
+        before, end = text[at - piece : at + overlap + 1], min(at + overlap, len(text))
+        tails.append(boundaries(before, at - piece, at, end))
+        heads.append(boundaries(text[at : at + overlap + 1], at, at, end))
+    return stretches(len(text), piece, tails, heads)
 
 
 def decode(ids, name: str = "byte_bpe_50k", folder: str = FOLDER) -> str:

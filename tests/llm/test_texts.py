@@ -61,6 +61,12 @@ def test_ids_decode_to_the_text_and_match_the_other_library(spark):
 
 
 def test_meeting_points():
+    rnd = random.Random(3)
+    for _ in range(200):
+        text = "".join(rnd.choice(["word", " ", "  ", "\n", "12", "é", "x" * 30, "'ll", "!?", "\t", "日本"]) for _ in range(rnd.randrange(80)))
+        want = encoding.encode(text, "byte_bpe_50k", encoding.FOLDER, 1 << 30)
+        for piece, overlap in ((7, 3), (40, 12), (16, 16)):
+            assert (encoding.encode(text, "byte_bpe_50k", encoding.FOLDER, piece, overlap) == want).all()
     assert encoding.meet([5, 9, 12], [4, 9, 12]) == 9 and encoding.meet([5], [6]) is None
     assert encoding.stretches(30, 10, [[12], [21, 23]], [[11, 12], [22]]) == [(0, 12), (12, 30)]
 
