@@ -78,7 +78,7 @@ def repositories(rows: DataFrame) -> DataFrame:
 def symbols_in_order(nodes: DataFrame, repo_id: str, ids: list[str]) -> DataFrame:
     """The symbols with these ids in the order asked for; unknown ids are passed over."""
     asked = nodes.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], "position int, id string")
-    return nodes.where(F.col("repo_id") == repo_id).join(F.broadcast(asked), "id").orderBy("position")
+    return nodes.where(F.col("repo_id") == repo_id).join(asked, "id").orderBy("position")
 
 
 def children(nodes: DataFrame, limit: int = 4 * QUERY_NODES) -> DataFrame:
@@ -87,6 +87,23 @@ def children(nodes: DataFrame, limit: int = 4 * QUERY_NODES) -> DataFrame:
     return nodes.where("parent is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("repo_id", "parent", "place", "id", "kind", "name")
 
 
+def one_hop(dependencies: DataFrame, keys: DataFrame, direction: str = "both") -> DataFrame:
+    """(repo_id, key, direction, other, weight): what depends on each key (in), or what it depends on (out), one step away.
+
+    dependencies: repo_id, from_name, to_name, weight. keys: repo_id, key. An
+    unknown key has no rows; ``direction`` is in, out or both.
+    """
+    if direction not in ("in", "out", "both"):
+        raise InvalidArgument(f"direction {direction}: in, out or both")
+    ways = [("in", "to_name", "from_name"), ("out", "from_name", "to_name")]
+    parts = [
+        dependencies.join(keys.select("repo_id", F.col("key").alias(own)), ["repo_id", own]).select("repo_id", F.col(own).alias("key"), F.lit(name).alias("direction"), F.col(other).alias("other"), "weight")
+        for name, own, other in ways
+        if direction in (name, "both")
+    ]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def crates(nodes: DataFrame) -> DataFrame:
     """Root modules: modules without a parent."""
     return nodes.where("kind = 'module' and parent is null").select("repo_id", "id", "name", "file")

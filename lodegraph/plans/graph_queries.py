@@ -63,7 +63,7 @@ def callees_depth2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hot_impact(g: Graph, possible: bool = False) -> Impact:
-    return impact(g, hot_symbols(g), max_nodes=1_000_000, possible=possible)
+    return impact(g, hot_symbols(g), max_nodes=None, possible=possible)
 
 
 def impact_affected(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,14 +97,14 @@ def impact_chain_length(spark: SparkSession, folder: str) -> DataFrame:
 
 def selected_tests(spark: SparkSession, folder: str) -> DataFrame:
     g = load_graph(spark, folder)
-    chosen = select_tests(g, hot_symbols(g), max_nodes=1_000_000, possible=True, per_symbol=False)["selected"]
+    chosen = select_tests(g, hot_symbols(g), max_nodes=None, possible=True, per_symbol=False)["selected"]
     return g.named(chosen, nid="id").select(F.col("q").alias("repo_id"), "id", "depth", "confidence")
 
 
 def test_chains(spark: SparkSession, folder: str) -> DataFrame:
     """Direct, transitive and possible tests with the calls in their chains."""
     g = load_graph(spark, folder)
-    chosen = select_tests(g, hot_symbols(g), max_nodes=1_000_000, possible=True, per_symbol=False)["selected"]
+    chosen = select_tests(g, hot_symbols(g), max_nodes=None, possible=True, per_symbol=False)["selected"]
     return g.named(chosen, nid="id").select(F.col("q").alias("repo_id"), "id", "depth", "calls", "selection")
 
 
@@ -115,7 +115,7 @@ def untested_hot(spark: SparkSession, folder: str) -> DataFrame:
 
     called = architecture.fans(architecture.links_of(g, "function")).where("fan_in > 0").join(g.nodes.where("kind in ('function', 'method') and not is_test").select(F.col("nid").alias("node")), "node", "left_semi")
     top = called.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("fan_in"), F.desc("node")))).where("r <= 3")
-    rest = select_tests(g, top.select(F.col("g").alias("q"), F.col("node").alias("nid")), max_nodes=1_000_000)["untested"]
+    rest = select_tests(g, top.select(F.col("g").alias("q"), F.col("node").alias("nid")), max_nodes=None)["untested"]
     return g.named(rest, nid="id").select(F.col("q").alias("repo_id"), "id")
 
 
