@@ -94,6 +94,10 @@ class Tiers:
             self._fs.delete(self._path(path), True)
         return done
 
+    def remove(self) -> None:
+        """Deletes all of it."""
+        self._fs.delete(self._path(self.folder), True)
+
     def _publish(self, seq: int, text: str) -> None:
         target, aside = (self._path(f"{self.folder}/done/{n}") for n in (f"{seq:09d}", f"_{uuid.uuid4().hex}"))
         stream = self._fs.create(aside, False)

@@ -1,20 +1,18 @@
-"""A graph stored in versioned folders: full and incremental writes, tokens, deletion.
+"""A graph stored in tiers of keyed tables: full and incremental writes, tokens, deletion.
 
-Every version is a folder of Parquet tables; a pointer file names the current
-one and is replaced by a rename, so a reader sees one version or the other. The
-state that an incremental run builds on is valid only while its token is that
-of the stored graph.
+The state that an incremental run builds on is valid only while its token is
+that of the stored graph.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.operators.tiers import Tiers
 from lodegraph.schemas import GRAPH_FORMAT, NotFound, OutdatedIndex
 
 
@@ -27,13 +25,6 @@ def delta(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key, "full").select(*key, change.alias("change")).where("change is not null")
 
 
-def apply_delta(old: DataFrame, new_rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """The new table from the old one and the rows that differ."""
-    gone = found.where("change <> 'added'").select(key)
-    come = found.where("change <> 'removed'").select(key)
-    return old.join(gone, key, "left_anti").unionByName(new_rows.join(come, key, "left_semi"))
-
-
 @dataclass
 class Written:
     mode: str
@@ -45,42 +36,33 @@ class Written:
 
 
 class GraphStore:
-    """tables: name -> key columns. One folder holds one repository's graph."""
+    """tables: name -> key columns. One folder holds one repository's graph.
+
+    An incremental write appends the rows that differ, and a mark for each that
+    is gone; an unchanged table costs a comparison and writes nothing. Readers
+    see the version before or after a write, never one in between.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, tables: dict[str, list[str]]):
-        self.spark, self.folder, self.tables = spark, folder.rstrip("/"), tables
+        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), tables
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def _tiers(self, schemas: dict[str, str] | None = None) -> Tiers:
+        known = schemas or Tiers(self.spark, self.folder, {}).marker()["extra"].get("schemas", {})
+        return Tiers(self.spark, self.folder, {n: (f"{known[n]}, _gone boolean", self.keys[n]) for n in known})
 
     def current(self) -> dict | None:
-        fs, p = self._fs(f"{self.folder}/_current")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return json.loads(text)
-
-    def _point(self, state: dict) -> None:
-        fs, temporary = self._fs(f"{self.folder}/_current.{uuid.uuid4().hex}")
-        stream = fs.create(temporary, False)
-        stream.write(bytearray(json.dumps(state), "utf-8"))
-        stream.close()
-        _, at = self._fs(f"{self.folder}/_current")
-        if fs.exists(at):
-            fs.delete(at, False)
-        if not fs.rename(temporary, at):
-            raise OSError(f"cannot replace {at}")
+        """token and format of what is stored."""
+        return self._tiers().marker()["extra"] or None
 
     def load(self, name: str) -> DataFrame:
-        state = self.current()
-        if state is None:
+        tiers = self._tiers()
+        marker = tiers.marker()
+        state = marker["extra"]
+        if not state:
             raise NotFound(self.folder)
         if state["format"] != GRAPH_FORMAT:
             raise OutdatedIndex(f"graph format {state['format']}, not {GRAPH_FORMAT}; index the repository again")
-        return self.spark.read.parquet(f"{self.folder}/{state['version']}/{name}")
+        return tiers.read(name, marker).where(~F.col("_gone")).drop("_gone")
 
     def why_full(self, token: str | None, force: bool) -> str | None:
         """Why a write has to be a full one, or None."""
@@ -91,43 +73,47 @@ class GraphStore:
             return "not stored yet"
         if state["format"] != GRAPH_FORMAT:
             return "format changed"
-        if token is None or token != state["token"]:
-            return "no state for the stored graph"
-        return None
+        return None if token is not None and token == state["token"] else "no state for the stored graph"
+
+    def _difference(self, name: str, new: DataFrame, counts: dict[str, int]) -> DataFrame:
+        old, key = self.load(name), self.keys[name]
+        found = delta(old, new, key).persist()
+        for r in found.groupBy("change").count().collect():
+            counts[r["change"]] += r["count"]
+        come = new.join(found.where("change <> 'removed'").select(key), key, "left_semi").withColumn("_gone", F.lit(False))
+        gone = old.join(found.where("change = 'removed'").select(key), key, "left_semi").withColumn("_gone", F.lit(True))
+        return come.unionByName(gone)
 
     def write(self, new: dict[str, DataFrame], token: str | None = None, force: bool = False) -> Written:
         """Writes a version: only the differences to the current one where ``token`` is its token, else everything."""
-        reason = self.why_full(token, force)
-        version, counts = uuid.uuid4().hex, {"added": 0, "removed": 0, "changed": 0}
-        for name, key in self.tables.items():
-            at = f"{self.folder}/{version}/{name}"
-            if reason is None:
-                old = self.load(name)
-                found = delta(old, new[name], key).persist()
-                for r in found.groupBy("change").count().collect():
-                    counts[r["change"]] += r["count"]
-                apply_delta(old, new[name], found, key).select(new[name].columns).write.parquet(at)
-                found.unpersist()
-            else:
-                new[name].write.parquet(at)
-                counts["added"] += self.spark.read.parquet(at).count()
+        reason, counts = self.why_full(token, force), {"added": 0, "removed": 0, "changed": 0}
+        schemas = {n: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new[n].schema) for n in self.keys}
+        tiers = self._tiers(schemas)
+        marker = tiers.marker()
+        if reason:
+            old = [t["path"] for ts in marker["tables"].values() for t in ts]
+            marker = marker | {"tables": {}, "garbage": marker["garbage"] + old}
+            batch = {n: new[n].withColumn("_gone", F.lit(False)) for n in self.keys}
+        else:
+            batch = {n: self._difference(n, new[n], counts) for n in self.keys}
         fresh = uuid.uuid4().hex
-        self._point({"version": version, "token": fresh, "format": GRAPH_FORMAT})
+        done = tiers.commit(marker, batch, {"token": fresh, "format": GRAPH_FORMAT, "schemas": schemas})
+        if reason:
+            counts["added"] = sum(t["rows"] for ts in done["tables"].values() for t in ts)
         return Written("full" if reason else "incremental", reason, fresh, **counts)
 
     def delete(self) -> int:
         """Deletes the graph; gives the number of rows it held."""
         if self.current() is None:
             return 0
-        n = sum(self.load(name).count() for name in self.tables)
-        fs, p = self._fs(self.folder)
-        fs.delete(p, True)
+        n = sum(self.load(name).count() for name in self.keys)
+        Tiers(self.spark, self.folder, {}).remove()
         return n
 
-    def dump(self) -> list[str]:
-        """Every row as sorted text, to hold one store against another."""
-        lines: list[str] = []
-        for name in sorted(self.tables):
-            df = self.load(name)
-            lines += [f"{name} {r[0]}" for r in df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})).collect()]
-        return sorted(lines)
+    def dump(self) -> DataFrame:
+        """(tab, row): every row as text, in order, to hold one store against another."""
+        parts = [df.select(F.lit(name).alias("tab"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row")) for name in sorted(self.keys) for df in [self.load(name)]]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        return whole.orderBy("tab", "row")

@@ -2,10 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.compare import symbols as compare
+from lodegraph.compare.report import Revisions
 from lodegraph.functions import text
+from lodegraph.graph.frame import build_graph
 from lodegraph.operators import ranges
 from lodegraph.quality import measures
 from lodegraph.schemas import OutdatedIndex
+from lodegraph.versioned import store as store_module
 from lodegraph.versioned.store import GraphStore
 
 SYM = "repo_id string, id string, kind string, name string, fingerprint string, signature string"
@@ -53,18 +56,41 @@ def test_text_functions(spark):
     assert tuple(r)[:5] == ("https://h/x/y.git", "y", 2, "T::m", "method:c::T::m#2") and r[5] == f"{text.fnv1a(b'a' + b'''\n\n  b\n\t\n'''):016x}"
 
 
-def test_stored_versions(spark, tmp_path):
-    store = GraphStore(spark, str(tmp_path / "g"), {"nodes": ["id"]})
+def test_stored_versions(spark, tmp_path, monkeypatch):
+    stored = GraphStore(spark, str(tmp_path / "g"), {"nodes": ["id"]})
     make = lambda data: {"nodes": spark.createDataFrame(data, "id string, v int")}
-    first = store.write(make([("a", 1), ("b", None), ("c", 3)]))
+    text = lambda s: [tuple(r) for r in s.dump().collect()]
+    first = stored.write(make([("a", 1), ("b", None), ("c", 3)]))
     assert (first.mode, first.reason, first.added) == ("full", "not stored yet", 3)
-    second = store.write(make([("a", 1), ("b", 2), ("d", 4)]), first.token)
+    second = stored.write(make([("a", 1), ("b", 2), ("d", 4)]), first.token)
     assert (second.mode, second.added, second.removed, second.changed) == ("incremental", 1, 1, 1)
     whole = GraphStore(spark, str(tmp_path / "h"), {"nodes": ["id"]})
     whole.write(make([("a", 1), ("b", 2), ("d", 4)]))
-    assert store.dump() == whole.dump()
-    assert store.write(make([("a", 1)]), first.token).reason == "no state for the stored graph"
-    assert store.delete() == 1 and store.current() is None
-    whole._point({**whole.current(), "format": 1})
+    assert text(stored) == text(whole) and len(text(whole)) == 3
+    tables = lambda: stored._tiers().marker()["tables"]
+    before = tables()
+    third = stored.write(make([("a", 1), ("b", 2), ("d", 4)]), second.token)
+    assert (third.mode, third.added + third.removed + third.changed) == ("incremental", 0) and tables() == before
+    assert stored.write(make([("a", 1)]), first.token).reason == "no state for the stored graph" and text(stored) == [("nodes", '{"id":"a","v":1}')]
+    assert stored.delete() == 1 and stored.current() is None
+    monkeypatch.setattr(store_module, "GRAPH_FORMAT", store_module.GRAPH_FORMAT + 1)
+    assert whole.why_full(None, False) == "format changed"
     with pytest.raises(OutdatedIndex):
         whole.load("nodes")
+
+
+def test_reports_over_two_revisions(spark, rows):
+    columns = "repo_id string, id string, kind string, name string, qualified_name string, file string, start_line int, end_line int, parent string, module string, is_test boolean"
+    node = lambda i, kind="function", test=False: ("r", i, kind, i, i, f"{i[0]}.rs", 1, 2, None, "m", test)
+    edges = lambda data: spark.createDataFrame([("r", a, b, rel, None, [1]) for a, b, rel in data], "repo_id string, from_id string, to_id string, relation string, resolution string, lines array<int>")
+    marks = lambda data: spark.createDataFrame([("r", i, f, s) for i, f, s in data], "repo_id string, id string, fingerprint string, signature string")
+    base = build_graph(spark.createDataFrame([node("a"), node("b"), node("gone"), node("t", test=True), node("m", "module")], columns), edges([("b", "a", "CALLS"), ("t", "b", "CALLS"), ("t", "gone", "CALLS")]))
+    head = build_graph(spark.createDataFrame([node("a"), node("b"), node("new"), node("t", test=True), node("x"), node("m", "module")], columns), edges([("b", "a", "CALLS"), ("x", "a", "CALLS_CANDIDATE"), ("new", "b", "CALLS")]))
+    r = Revisions(base, head, marks([("a", "1", "s"), ("b", "1", "s"), ("gone", "7", "s"), ("t", "1", "s"), ("m", "1", "s")]), marks([("a", "2", "z"), ("b", "1", "s"), ("new", "3", "s"), ("t", "1", "s"), ("x", None, "s"), ("m", "2", "s")]))
+    changes = r.changes()
+    assert [(c["place"], c["id"], c["change"], c["signature_changed"]) for c in changes.orderBy("place").collect()] == [(1, "a", "modified", True), (2, "new", "added", False), (3, "x", "added", False), (4, "gone", "removed", False)]
+    found = r.affected(changes)
+    assert rows(found.select("id", "confidence", "side", "depth")) == [("b", "certain", "head", 1), ("t", "certain", "base", 1)]
+    s = r.summary(changes, found).first()
+    assert (s["changes"], s["modified"], s["added"], s["removed"], s["affected"], s["possibly_affected"], s["affected_tests"], s["files"]) == (4, 1, 2, 1, 2, 0, 1, 4)
+    assert r.affected(changes.limit(0)).count() == 0
