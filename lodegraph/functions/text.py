@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,16 +56,29 @@ def nonblank_lines(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?m)^[^\S\n]*\S")).cast("int")
 
 
+# fixed values: marks of generated files
+GENERATED_ENDINGS, GENERATED_PARTS = (".pb.rs", ".min.js"), ("_generated.", ".generated.")
+GENERATED_MARKERS = ("@generated", "do not edit", "code generated by", "automatically generated")
+HEADER_LINES = 5
+
+
+def _any(conditions: list[Column]) -> Column:
+    whole = conditions[0]
+    for c in conditions[1:]:
+        whole = whole | c
+    return whole
+
+
 def is_generated_name(path: Column) -> Column:
     """Names that generators give to files."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return name.rlike(r"(?i)([._](generated|gen|pb)\.[a-z]+$)|(\.(min|bundle)\.js$)|_pb2(_grpc)?\.py$")
+    return _any([F.endswith(name, F.lit(x)) for x in GENERATED_ENDINGS] + [F.contains(name, F.lit(x)) for x in GENERATED_PARTS])
 
 
-def has_generated_header(text: Column, lines: int = 5) -> Column:
+def has_generated_header(text: Column, lines: int = HEADER_LINES) -> Column:
     """A generator's mark in the first lines."""
     head = F.lower(F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n"))
-    return head.rlike(r"@generated|do not edit|auto-?generated|automatically generated")
+    return _any([F.contains(head, F.lit(x)) for x in GENERATED_MARKERS])
 
 
 def without_credentials(url: Column) -> Column:
@@ -85,14 +99,43 @@ def lines_between(text: Column, first: int, last: int) -> Column:
     return F.slice(rows, first, last - first + 1)
 
 
-def fnv1a(data: bytes, seed: int = 0xCBF29CE484222325) -> int:
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+#: Fewer texts than this at one position are hashed one by one.
+_FEW = 8
+
+
+def fnv1a(data: bytes, seed: int = FNV_START) -> int:
     h = seed
     for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+        h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
     return h
 
 
+def fnv1a_all(texts: list[bytes]) -> list[int]:
+    """FNV-1a of many texts at once: one step for each position, over all texts that reach it."""
+    by = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.array([len(texts[i]) for i in by])
+    h = np.full(len(by), FNV_START, np.uint64)
+    if not len(by):
+        return []
+    flat = np.frombuffer(b"".join(texts[i] for i in by), np.uint8)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    shared = int(sizes[_FEW - 1]) if len(by) >= _FEW else 0
+    prime, live = np.uint64(FNV_PRIME), len(by)
+    with np.errstate(over="ignore"):
+        for at in range(shared):
+            while sizes[live - 1] <= at:
+                live -= 1
+            h[:live] = (h[:live] ^ flat[starts[:live] + at]) * prime
+    out = [0] * len(by)
+    for k, i in enumerate(by):
+        out[i] = fnv1a(texts[i][shared:], int(h[k])) if len(texts[i]) > shared else int(h[k])
+    return out
+
+
 @F.pandas_udf(StringType())
 def content_hash(text: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, 16 hexadecimal digits; null for null."""
-    return text.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
+    known = text.notna()
+    hashed = iter(fnv1a_all([t.encode() for t in text[known]]))
+    return pd.Series([f"{next(hashed):016x}" if k else None for k in known], dtype=object)

@@ -7,10 +7,11 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.names.resolve import Repository, Resolution
+from lodegraph.operators.tiers import Tiers
 from lodegraph.rustlex.items import Facts, read_file
 from lodegraph.schemas import CANDIDATES_LISTED
 from lodegraph.sources.layout import by_path, child_file, dependency_names, modules, targets
@@ -109,10 +110,34 @@ def _layout(b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["repo_id", "path", "module", "crate", "target", "needs"])
 
 
+_PLACED = "repo_id string, path string, module string, crate string, target string, needs array<string>"
+_FACTS = "repo_id string, path string, module string, hash bigint, facts binary"
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         facts = [pickle.dumps(read_file(t, p, m)) for t, p, m in zip(b["text"], b["path"], b["module"])]
-        yield b.drop(columns=["text", "module"]).assign(facts=facts)
+        yield b[["repo_id", "path", "module", "hash"]].assign(facts=facts)
+
+
+def fact_cache(spark: SparkSession, folder: str) -> Tiers:
+    """Facts of files as they were last read."""
+    return Tiers(spark, folder, {"facts": (_FACTS, ["repo_id", "path"])})
+
+
+def read_facts(texts: DataFrame, cache: Tiers | None = None) -> DataFrame:
+    """texts: repo_id, path, module, text. (repo_id, path, module, hash, facts).
+
+    With a cache, only files whose text or module changed since they were last
+    read are read again, and only these are written.
+    """
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    if cache is None:
+        return hashed.mapInPandas(_read, _FACTS)
+    same = ["repo_id", "path", "module", "hash"]
+    marker = cache.marker()
+    new = hashed.join(cache.read("facts", marker).select(same), same, "left_anti")
+    return cache.read("facts", cache.commit(marker, {"facts": new.mapInPandas(_read, _FACTS)}, {})).join(hashed.select(same), same, "left_semi")
 
 
 def _link(b: pd.DataFrame) -> pd.DataFrame:
@@ -130,18 +155,20 @@ SCHEMAS = {
 }
 
 
-def fact_tables(files: DataFrame) -> dict[str, DataFrame]:
+def fact_tables(files: DataFrame, cache: Tiers | None = None) -> dict[str, DataFrame]:
     """files: repo_id, path, text of Rust files and manifests. The fact tables by name, each with repo_id.
 
     Texts are read where they lie, whatever repository they belong to: once for
     their ``mod`` items, which lay the repository out, and once for their facts.
-    Only facts meet in the group of a repository, as name resolution needs.
+    Only facts meet in the group of a repository, as name resolution needs. With
+    a ``fact_cache``, unchanged files are not read for their facts again.
     Texts without a repository or path, and null ones, are left out; of several
     for one path the largest counts. Every other Rust text gives at least its module.
     """
     texts = files.select("repo_id", "path", "text").where("repo_id is not null and path is not null and text is not null and (path like '%.rs' or path = 'Cargo.toml' or path like '%/Cargo.toml')")
     texts = texts.groupBy("repo_id", "path").agg(F.max("text").alias("text"))
-    layout = texts.mapInPandas(_outlines, "repo_id string, path string, said string").groupBy("repo_id").applyInPandas(_layout, "repo_id string, path string, module string, crate string, target string, needs array<string>")
-    facts = texts.join(layout, ["repo_id", "path"]).mapInPandas(_read, "repo_id string, path string, crate string, target string, needs array<string>, facts binary")
-    rows = facts.groupBy("repo_id").applyInPandas(_link, FACTS)
+    layout = texts.mapInPandas(_outlines, "repo_id string, path string, said string").groupBy("repo_id").applyInPandas(_layout, _PLACED)
+    facts = read_facts(texts.join(layout.select("repo_id", "path", "module"), ["repo_id", "path"]), cache)
+    placed = facts.select("repo_id", "path", "facts").join(layout.drop("module"), ["repo_id", "path"])
+    rows = placed.groupBy("repo_id").applyInPandas(_link, FACTS)
     return {name: rows.where(F.col("tab") == name).select("repo_id", F.from_json("row", schema).alias("r")).select("repo_id", "r.*") for name, schema in SCHEMAS.items()}

@@ -139,10 +139,10 @@ def renamed_ends(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def last_login(spark: SparkSession, folder: str) -> DataFrame:
-    """For each purchase the latest view of the same user up to its instant."""
+    """For each event of the first type the latest one of the second type of the same user up to its instant; rows without a type are of neither."""
     e = table(spark, folder, "events")
-    types = sorted(r[0] for r in e.select("event_type").distinct().collect())
-    first, second = types[0], types[1 % len(types)]
+    first = e.agg(F.min("event_type")).first()[0]
+    second = e.where(F.col("event_type") > first).agg(F.min("event_type")).first()[0] if first is not None else None
     left = e.where(F.col("event_type") == first).select("event_id", "user_id", "ts")
     right = e.where(F.col("event_type") == second).groupBy("user_id", F.col("ts").alias("seen_at")).agg(F.max("event_id").alias("seen_event"))
     return ranges.as_of(left, right, ["user_id"], "ts", "seen_at", ["seen_event"]).select("event_id", "seen_event")
@@ -180,6 +180,9 @@ ORACLES = {
     "language_stats": f"WITH {_FILES}, {_LAST}, f AS (SELECT repo_id, path, loc FROM (SELECT repo_id, rev, {_PLAIN} AS path, loc, observed_at, row_number() OVER (PARTITION BY repo_id, rev, {_PLAIN} ORDER BY observed_at DESC NULLS LAST, loc DESC NULLS LAST) AS rn FROM files SEMI JOIN last_x USING (repo_id, rev) WHERE path IS NOT NULL) WHERE rn = 1) SELECT repo_id, {_LANG} AS language, count(*) AS files, sum(loc)::BIGINT AS loc FROM f GROUP BY ALL",
     "text_lines": "SELECT source, language, count(*) AS n_documents, sum(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \\t\\r\\f\\v]'))))::BIGINT AS loc FROM documents GROUP BY ALL",
     "second_lines": "SELECT doc_id, i AS line, regexp_replace(l[i], '\\r$', '') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), (VALUES (2), (3), (4)) v(i) WHERE i <= len(l)",
+    "generated_names": """WITH d AS (SELECT repo_id, regexp_extract(path, '([^/]*)$', 1) AS n, lower(array_to_string(string_split(text, chr(10))[1:5], chr(10))) AS h FROM documents WHERE source = 'source_file')
+        SELECT repo_id, count(*) FILTER (n LIKE '%.pb.rs' OR n LIKE '%.min.js' OR contains(n, '_generated.') OR contains(n, '.generated.')) AS by_name,
+          count(*) FILTER (contains(h, '@generated') OR contains(h, 'do not edit') OR contains(h, 'code generated by') OR contains(h, 'automatically generated')) AS by_header FROM d GROUP BY repo_id""",
     "name_forms": f"WITH {_LIVE} SELECT repo_id, id, CASE WHEN kind = 'method' THEN array_to_string(string_split(qualified_name, '::')[-2:], '::') ELSE string_split(qualified_name, '::')[-1] END AS short, regexp_replace(id, '^[a-z]+:', '') AS qualified, split_part(qualified_name, '::', 1) AS crate FROM live",
     "repository_list": "SELECT repo_id, name, regexp_extract(regexp_replace(origin_url, '(\\.git)?/*$', ''), '([^/:]+)$', 1) AS url_name, coalesce(contains(origin_url, '://') OR regexp_matches(origin_url, '^git@[^:]+:'), false) AS remote, array_to_string(list_transform(languages, lambda x: x.language), ',') AS languages FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY analyzed_at DESC) AS rn FROM repositories) WHERE rn = 1",
     "call_outcomes": f"""WITH {_MERGED}, e AS (SELECT repo_id, count(*) AS resolved, {", ".join(f"count(*) FILTER (resolution = '{s}') AS by_{s}" for s in ("scope", "import", "path", "receiver_type", "self_type", "impl_block"))} FROM merged WHERE relation = 'CALLS' GROUP BY repo_id),

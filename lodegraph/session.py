@@ -8,6 +8,7 @@ the setting is absent, as in tests.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -40,13 +41,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: ``keep`` cuts lineage, ``drop`` frees a table that no plan reads any more."""
+    """Tables written to the shared folder: ``keep`` cuts lineage, ``drop`` frees a table that no plan reads any more. What is left goes when the process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
         self._n = 0
+        atexit.register(self.clear)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def clear(self) -> None:
+        """Deletes every table of this scratch, if the session still runs."""
+        try:
+            self._delete(self.root)
+        except Exception:
+            pass
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -59,9 +72,7 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         path = self._paths.pop(id(df), None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
 
 
 def planned_bytes(df: DataFrame) -> int:

@@ -9,30 +9,41 @@ from lodegraph.functions import text
 from lodegraph.tables import plain_path
 
 # fixed values: directories that are never scanned, and the largest file that is analysed
-PRUNED = ("target", "node_modules", ".git", "vendor", "third_party", "dist", "build", "__pycache__")
+PRUNED = (".git", "target", "build", "dist", "vendor", "node_modules", ".svelte-kit", "__pycache__")
 TOO_LARGE = 2 * 1024 * 1024
 
 
+def _glob() -> str:
+    """File names of every language, in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in sorted(text.LANGUAGES)) + "}"
+
+
 def scan(spark: SparkSession, root: str, repo_id: str, rev: str = "worktree") -> DataFrame:
-    """(repo_id, rev, path, language, bytes, content, text, skipped) of every file below root that has a language.
+    """(repo_id, rev, path, language, bytes, skipped, text) of every file below root that has a language.
 
-    text is null where the file was not analysed, and skipped says why: too_large, not_utf8 or generated. Large files are told by their
-    listing; contents of others are read by the executors.
+    text is null where the file was not analysed, and skipped says why:
+    too_large, not_utf8 or generated. Only files with a language's extension are
+    listed; large ones are told by their listing and never opened, the contents
+    of others are read by the executors. Pruned folders and hidden ones are left
+    out after listing.
     """
     root = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob()).load(root)
     relative = plain_path(F.regexp_replace("path", r"^[a-z]+:/*", "/"))
     base = plain_path(F.lit("/" + root.removeprefix("file:").lstrip("/")))
     path = F.substring(relative, F.length(base) + 2, F.lit(1 << 20))
-    rows = files.select(path.alias("path"), F.col("length").alias("bytes"), "content")
-    rows = rows.where(~F.exists(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda s: s.isin(*PRUNED)))
-    rows = rows.withColumn("language", text.language_of(F.col("path"))).where("language is not null")
-    large = F.col("bytes") > TOO_LARGE
-    body = F.when(~large, F.try_validate_utf8(F.col("content").cast("string")))
-    named = rows.withColumn("body", body)
+    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+
+    def placed(rows: DataFrame, body) -> DataFrame:
+        named = rows.select(path.alias("path"), F.col("length").alias("bytes"), body.alias("body"))
+        kept = named.where(~F.exists(folders, lambda s: s.isin(*PRUNED) | s.startswith(".")))
+        return kept.withColumn("language", text.language_of(F.col("path"))).where("language is not null")
+
+    large = placed(listed.where(F.col("length") > TOO_LARGE), F.lit(None).cast("string")).withColumn("skipped", F.lit("too_large"))
+    small = placed(listed.where(F.col("length") <= TOO_LARGE), F.try_validate_utf8(F.col("content").cast("string")))
     generated = text.is_generated_name(F.col("path")) | F.coalesce(text.has_generated_header(F.col("body")), F.lit(False))
-    skipped = F.when(large, "too_large").when(F.col("body").isNull(), "not_utf8").when(generated, "generated")
-    return named.select(F.lit(repo_id).alias("repo_id"), F.lit(rev).alias("rev"), "path", "language", "bytes", skipped.alias("skipped"), F.when(skipped.isNull(), F.col("body")).alias("text"))
+    small = small.withColumn("skipped", F.when(F.col("body").isNull(), "not_utf8").when(generated, "generated"))
+    return small.unionByName(large).select(F.lit(repo_id).alias("repo_id"), F.lit(rev).alias("rev"), "path", "language", "bytes", "skipped", F.when(F.col("skipped").isNull(), F.col("body")).alias("text"))
 
 
 def file_facts(scanned: DataFrame) -> DataFrame:

@@ -51,6 +51,8 @@ def test_measures(spark):
 
 def test_text_functions(spark):
     assert text.fnv1a(b"") == 0xCBF29CE484222325 and text.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    many = [b"ab" * n for n in range(30)] + [b"", b"z" * 5000]
+    assert text.fnv1a_all(many) == [text.fnv1a(t) for t in many] and text.fnv1a_all([]) == [] and text.fnv1a_all(many[:3]) == [text.fnv1a(t) for t in many[:3]]
     df = spark.createDataFrame([("https://u:p@h/x/y.git", "a\n\n  b\n\t\n", "method", "c::T::m")], "u string, t string, k string, q string")
     r = df.select(text.without_credentials(F.col("u")), text.name_of_url(F.col("u")), text.nonblank_lines(F.col("t")), text.short_name(F.col("k"), F.col("q")), text.symbol_id(F.col("k"), F.col("q"), F.lit(2)), text.content_hash("t")).first()
     assert tuple(r)[:5] == ("https://h/x/y.git", "y", 2, "T::m", "method:c::T::m#2") and r[5] == f"{text.fnv1a(b'a' + b'''\n\n  b\n\t\n'''):016x}"

@@ -1,6 +1,6 @@
 import pytest
 
-from lodegraph.names.analyse import analyse, fact_tables
+from lodegraph.names.analyse import analyse, fact_cache, fact_tables
 from lodegraph.rustlex.items import read_file
 from lodegraph.rustlex.lexer import tokens
 from lodegraph.schemas import InvalidArgument
@@ -127,6 +127,19 @@ def test_fact_tables(spark):
     assert tables["ambiguous_calls"].where("candidate_count >= 2").count() == 2
 
 
+def test_unchanged_files_are_not_read_again(spark, tmp_path):
+    cache = fact_cache(spark, str(tmp_path / "facts"))
+    made = lambda files: spark.createDataFrame([("r", p, t) for p, t in files.items()], "repo_id string, path string, text string")
+    edges = lambda tables: sorted(map(str, tables["edges"].collect()))
+    assert edges(fact_tables(made(FILES), cache)) == edges(fact_tables(made(FILES)))
+    before = cache.marker()["tables"]
+    fact_tables(made(FILES), cache)
+    assert cache.marker()["tables"] == before
+    changed = FILES | {"src/util.rs": "pub fn log(n: u32) -> u32 { other(n) }\nfn other(n: u32) -> u32 { n }\n"}
+    assert edges(fact_tables(made(changed), cache)) == edges(fact_tables(made(changed)))
+    assert [t["rows"] for t in cache.marker()["tables"]["facts"]][-1] == 1
+
+
 def test_layout():
     assert layout.parse_manifest("[package]\nname='a'\n[[bin]]\nname='t'\npath='x.rs'") == ("a", [("bin", "t", "x.rs")]) and layout.parse_manifest("nonsense[") is None
     assert layout.dependency_names("[dev-dependencies]\na-b='1'\n[target.'cfg(x)'.dependencies]\nc='1'\n[workspace.dependencies]\nd='1'") == ["a_b", "c", "d"]
@@ -148,14 +161,14 @@ def test_git_output():
 
 
 def test_discovery(spark, tmp_path):
-    for name, data in {"src/a.rs": b"fn a() {}\n\n", "target/x.rs": b"fn x() {}", "b.pb.go": b"package b", "bad.py": b"\xff\xfe", "notes.txt": b"x", "gen.js": b"// @generated by x\n"}.items():
+    for name, data in {"src/a.rs": b"fn a() {}\n\n", "target/x.rs": b"fn x() {}", "b.pb.go": b"package b", "bad.py": b"\xff\xfe", "notes.txt": b"x", "gen.js": b"// Code generated by x\n", ".hidden/h.rs": b"fn h() {}", "big.go": b"x" * (discover.TOO_LARGE + 1), "U.RS": b"fn u() {}"}.items():
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
     got = {r["path"]: (r["language"], r["skipped"]) for r in discover.scan(spark, str(tmp_path), "r").collect()}
-    assert got == {"src/a.rs": ("rust", None), "b.pb.go": ("go", "generated"), "bad.py": ("python", "not_utf8"), "gen.js": ("javascript", "generated")}
+    assert got == {"src/a.rs": ("rust", None), "U.RS": ("rust", None), "big.go": ("go", "too_large"), "b.pb.go": ("go", None), "bad.py": ("python", "not_utf8"), "gen.js": ("javascript", "generated")}
     facts = discover.file_facts(discover.scan(spark, str(tmp_path), "r")).collect()
-    assert [(r["path"], r["loc"]) for r in facts] == [("src/a.rs", 1)]
+    assert {(r["path"], r["loc"]) for r in facts} == {("src/a.rs", 1), ("U.RS", 1), ("b.pb.go", 1)}
 
 
 def test_streams(spark, tmp_path):
