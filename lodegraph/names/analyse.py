@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import pickle
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from lodegraph.names.resolve import Repository, Resolution
 from lodegraph.operators.tiers import Tiers
 from lodegraph.rustlex.items import Facts, read_file
 from lodegraph.schemas import CANDIDATES_LISTED
+from lodegraph.session import Scratch
 from lodegraph.sources.layout import by_path, child_file, dependency_names, modules, targets
 
 FACTS = "repo_id string, tab string, row string"
@@ -44,10 +46,18 @@ def _is_manifest(path: str) -> bool:
     return path.rpartition("/")[2] == "Cargo.toml"
 
 
+_MOD_ITEM = re.compile(r"\bmod\s+(?:r#)?\w+\s*;")
+
+
+def declared_modules(text: str, path: str) -> list:
+    """The ``mod name;`` items of a file; texts that cannot have one are not read."""
+    return read_file(text, path, "").modules if _MOD_ITEM.search(text) else []
+
+
 def analyse(files: dict[str, str], repo: str, unreached: bool = False) -> Resolution:
     """All of one repository in memory: path -> text of its Rust files and Cargo.toml manifests."""
     manifests = {p: t for p, t in files.items() if _is_manifest(p)}
-    declared = {p: read_file(t, p, "").modules for p, t in files.items() if p.endswith(".rs")}
+    declared = {p: declared_modules(t, p) for p, t in files.items() if p.endswith(".rs")}
     at = lay_out(repo, manifests, declared, unreached)
     return link({p: (read_file(files[p], p, path), crate, kind) for p, (path, crate, kind) in at.items()}, frozenset(n for t in manifests.values() for n in dependency_names(t)))
 
@@ -97,7 +107,7 @@ def _rows(repo: str, r: Resolution) -> Iterator[tuple[str, dict]]:
 def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What the layout of a repository needs of each file: manifests whole, of Rust files the ``mod`` items."""
     for b in batches:
-        said = [t if _is_manifest(p) else json.dumps(read_file(t, p, "").modules) for p, t in zip(b["path"], b["text"])]
+        said = [t if _is_manifest(p) else json.dumps(declared_modules(t, p)) for p, t in zip(b["path"], b["text"])]
         yield pd.DataFrame({"repo_id": b["repo_id"], "path": b["path"], "said": said})
 
 
@@ -168,6 +178,7 @@ def fact_tables(files: DataFrame, cache: Tiers | None = None) -> dict[str, DataF
     texts = files.select("repo_id", "path", "text").where("repo_id is not null and path is not null and text is not null and (path like '%.rs' or path = 'Cargo.toml' or path like '%/Cargo.toml')")
     texts = texts.groupBy("repo_id", "path").agg(F.max("text").alias("text"))
     layout = texts.mapInPandas(_outlines, "repo_id string, path string, said string").groupBy("repo_id").applyInPandas(_layout, _PLACED)
+    layout = Scratch(files.sparkSession, "layout").keep(layout)
     facts = read_facts(texts.join(layout.select("repo_id", "path", "module"), ["repo_id", "path"]), cache)
     placed = facts.select("repo_id", "path", "facts").join(layout.drop("module"), ["repo_id", "path"])
     rows = placed.groupBy("repo_id").applyInPandas(_link, FACTS)
